@@ -43,7 +43,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the bytes behind a DataFrame; costs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 # ---------------------------------------------------------------- Arrow kernels

@@ -7,20 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import simhash
+from gridmill.llm import packing, simhash, token_output
+from gridmill.llm.common import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(file: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(file)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return got.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.groups(table(spark, sf_dir, "documents"), shingle=4)
     return got.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "tokens")
+    manifest = token_output.write(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
+    return token_output.read(spark, path, manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op7_simhash": op7_simhash,
+    "op8_token_output": op8_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
