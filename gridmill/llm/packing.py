@@ -25,7 +25,7 @@ from gridmill.llm.tokens import encoder
 WINDOW = 1024
 PIECE = 256
 BATCH_WINDOWS = 256
-SLICE = 1 << 20
+SLICE = 4 << 20
 
 SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -122,8 +122,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
-                    packer.add(key, ids + end)
+                ids, at = enc.encode_column(part.column(1))
+                for key, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    packer.add(key, ids[a:b].tobytes() + end)
                     if len(packer.rows) >= 4096:
                         yield packer.take()
         packer.flush()

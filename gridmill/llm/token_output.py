@@ -162,9 +162,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
         with store.open_output_stream(temp) as out:
             writer = Writer(out)
             for batch in batches:
-                for part in slices(batch, "text", 1 << 20):
-                    for key, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
-                        writer.add(key, ids + end)
+                for part in slices(batch, "text"):
+                    ids, at = enc.encode_column(part.column(1))
+                    for key, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                        writer.add(key, ids[a:b].tobytes() + end)
             writer.close()
         store.move(temp, final)
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [final], "docs": [len(writer.docs)], "tokens": [writer.tokens]})

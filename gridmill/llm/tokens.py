@@ -12,40 +12,84 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White_Space of Unicode, as the tokenizers' regular expressions know it. Fixed values.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-WORDS = re.compile(f"[^{SPACE}]+")
 EDGE = re.compile(f"[{SPACE}]|^$")
 #: Latin letters, then marks that no tokenizer joins with letters: the two are encoded apart.
 STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|()\"]*)")
 
 #: Chunks in the memo of one Python worker; beyond, it keeps short ones only, or starts anew.
-MEMO = 500_000
+MEMO = 800_000
 
 
 class Encoder:
-    """Encodes texts with one tokenizer file; ids come as little-endian unsigned 32-bit bytes."""
+    """Encodes texts with one tokenizer file; ids come as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         self.mode = _mode(spec)
         self.blank = " " if self.mode == "blank" else ""
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (32, *range(0xC0, 0x250))}
         self.memo: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
 
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: Iterable[str]) -> None:
+    def stem(self, letters: str) -> bytes:
+        """A word of Latin letters is one piece to the pre-tokenizer, so the model takes it as it is."""
+        return array("I", [t.id for t in self.model.tokenize((self.blank + letters).translate(self.level))]).tobytes()
+
+    def head(self, chunk: str) -> bytes:
+        """Ids of a chunk with no blank before it."""
+        ids = self.firsts.get(chunk)
+        if ids is None:
+            m = STEM.fullmatch(chunk)
+            if m is None:
+                ids = self.direct([chunk])[0]
+            else:
+                ids = array("I", [t.id for t in self.model.tokenize(m[1].translate(self.level))]).tobytes() + self.mark(m[2])
+            if len(self.firsts) > MEMO // 10:
+                self.firsts.clear()
+            self.firsts[chunk] = ids
+        return ids
+
+    def mark(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            if len(self.marks) > MEMO // 10:
+                self.marks = {"": b""}
+            ids = self.marks[marks] = self.direct([marks])[0]
+        return ids
+
+    def word(self, chunk: str) -> bytes | None:
+        """Ids of letters and the marks after them; None where a chunk is anything else."""
+        m = STEM.fullmatch(chunk)
+        if m is None:
+            return None
+        letters = m[1] if self.blank else m[1].lower()
+        ids = self.memo.get(letters)
+        if ids is None:
+            ids = self.memo[letters] = self.stem(letters)
+        return ids + self.mark(m[2]) if m[2] else ids
+
+    def _learn(self, chunks: list[str]) -> None:
         """Puts chunks into the memo; a stem and the marks after it are looked up apart."""
         memo = self.memo
         new = [c for c in chunks if c not in memo]
@@ -54,60 +98,74 @@ class Encoder:
             memo.clear()
             memo.update(short if len(short) < MEMO // 2 else {})
             new = [c for c in chunks if c not in memo]
-        split, marks, stems = [], set(), set()
+        rest = []
         for c in new:
-            if m := STEM.fullmatch(c):
-                stem, mark = m.groups()
-                stem = stem if self.blank else stem.lower()
-                split.append((c, stem, mark))
-                stems.add(stem)
-                marks.add(mark)
+            ids = self.word(c)
+            if ids is None and self.blank and "\n" in c:  # a single line feed between two words is a piece of its own
+                start, *lines = c.split("\n")
+                if not any(EDGE.search(x[:1] + x[-1:]) for x in lines) and (ids := self.word(start)) is not None:
+                    ids += b"".join([self.mark("\n") + self.head(x) for x in lines])
+            if ids is None:
+                rest.append(c)
             else:
-                stems.add(c)
-        todo, marks = [s for s in stems if s not in memo], [m for m in marks if m not in self.marks]
-        for lo in range(0, len(todo), 20_000):
-            part = todo[lo : lo + 20_000]
-            memo.update(zip(part, self.direct([self.blank + c for c in part])))
-        if len(self.marks) > MEMO // 10:
-            self.marks = {m: v for m, v in self.marks.items() if m in {"", *(x[2] for x in split)}}
-        self.marks.update(zip(marks, self.direct(marks)))
-        for c, stem, mark in split:
-            if mark or c != stem:
-                memo[c] = memo[stem] + self.marks[mark]
-
-    @staticmethod
-    def words(text: str) -> list[str]:
-        return WORDS.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+                memo[c] = ids
+        memo.update(zip(rest, self.direct([self.blank + c for c in rest])))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, by chunks where that is the same."""
+    def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column, one after another, and the offset of each text's first; null is empty."""
+        col = pc.fill_null(col, "")
         if self.mode == "whole":
-            return self.direct(texts)
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        parts = [None if i in odd else t.split(" ") if self.blank else self.words(t) for i, t in enumerate(texts)]
-        seen: set[str] = set()
-        for p in parts:
-            if p:
-                seen.update(p)
+            return _together(self.direct(col.to_pylist()))
+        odd = np.zeros(len(col), bool)
+        for s in self.special:
+            odd |= pc.match_substring(col, s).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(col, " ") if self.blank else pc.ascii_split_whitespace(col)
+        flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        at = at - at[0]
+        coded = flat.dictionary_encode()
+        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
         if self.blank:
-            bad = {c for c in seen if c not in self.memo and EDGE.search(c[:1] + c[-1:])}
-            if bad:
-                for i, p in enumerate(parts):
-                    if p and not bad.isdisjoint(p):
-                        parts[i] = None
-            seen -= bad
-        self._learn(seen)
-        memo, out = self.memo, []
-        for i, p in enumerate(parts):
-            if i in odd:
-                out.append(self.direct([texts[i]])[0])
-            elif p is None:
-                out.append(b"".join(self.direct(RUNS.findall(texts[i]))))
-            elif self.blank and p:
-                out.append(self.direct(p[:1])[0] + b"".join([memo[c] for c in p[1:]]))
-            else:
-                out.append(b"".join([memo[c] for c in p]))
-        return out
+            bad = {c for c in chunks if c not in self.memo and EDGE.search(c[:1] + c[-1:])}
+        else:
+            bad = {""} & set(chunks)  # at the ends of a text
+            self.memo.update(dict.fromkeys(bad, b""))
+        self._learn([c for c in chunks if c not in bad] if bad else chunks)
+        memo = self.memo
+        ids = [memo.get(c, b"") for c in chunks]
+        if self.blank:
+            wrong = np.array([c in bad for c in chunks], bool)[codes] if bad else np.zeros(len(codes), bool)
+            wrong[at[:-1]] = False
+            odd |= np.bincount(np.repeat(np.arange(len(col)), np.diff(at)), wrong, len(col)) > 0
+            heads, place = np.unique(codes[at[:-1]], return_inverse=True)
+            codes = codes.astype(np.int64)
+            codes[at[:-1]] = len(ids) + place
+            words = [chunks[h] for h in heads.tolist()]
+            ids += [self.head(w) for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.concatenate(([0], np.cumsum(size)))[:-1]
+        n = size[codes]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        out = pool[np.repeat(first[codes] - (end - n), n) + np.arange(total)] if total else pool[:0]
+        offsets = np.concatenate(([0], end))[at]
+        if odd.any():
+            data = [out[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+            for i in np.flatnonzero(odd).tolist():
+                text = col[i].as_py()
+                if self.blank and not any(s in text for s in self.special):
+                    data[i] = b"".join(self.direct(RUNS.findall(text)))
+                else:
+                    data[i] = self.direct([text])[0]
+            return _together(data)
+        return out, offsets
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, offsets = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
+
+
+def _together(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(data), "<u4"), np.concatenate(([0], np.cumsum([len(d) // 4 for d in data]))).astype(np.int64)
 
 
 def _mode(spec: dict) -> str:
