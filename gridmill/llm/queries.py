@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import packing, pii, quality_cnn, quality_rules, simhash, token_output
+from gridmill.llm import licenses, packing, pii, quality_cnn, quality_rules, simhash, token_output, url_filters
 from gridmill.llm.common import fresh_path
 
 
@@ -42,6 +42,39 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+#: Entries of the production list: (list, domain, date, added). Pages carry no fetch time; the
+#: query takes day `page_id modulo 366` of 2024 for it.
+LIST_EVENTS = (
+    ("gambling", "casino-win.example.com", "2024-01-15", True),
+    ("gambling", "casino-win.example.com", "2024-06-01", False),
+    ("gambling", "casino-win.example.com", "2024-09-10", True),
+    ("gambling", "free-bets.example.com", "2024-03-01", True),
+    ("adult", "adult-cam.example.net", "2024-02-01", True),
+    ("spam", "tionsh.example.net", "2024-05-01", True),
+    ("spam", "tionsh.example.net", "2024-05-20", False),
+    ("malware", "thther.example.org", "2024-07-07", True),
+    ("malware", "example.org", "2024-12-01", True),
+)
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = ", ".join(f"('{n}', '{d}', DATE '{at}', {str(on).lower()})" for n, d, at, on in LIST_EVENTS)
+    events = spark.sql(f"SELECT * FROM VALUES {values} AS t(list, domain, at, added)")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
+    return url_filters.judge(pages, events).withColumnRenamed("id", "page_id")
+
+
+URL_SQL = """
+WITH e(list, domain, day, added) AS (VALUES {values}),
+v AS (SELECT list, domain, day AS valid_from, added, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS valid_to FROM e),
+p AS (SELECT row_number() OVER () AS k, page_id, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), '') AS host,
+  CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched FROM pages),
+hit AS (SELECT p.k, count(*) AS n, string_agg(DISTINCT v.list, ',' ORDER BY v.list) AS lists FROM p JOIN v
+  ON v.added AND (p.host = v.domain OR ends_with(p.host, '.' || v.domain)) AND p.fetched >= v.valid_from AND (v.valid_to IS NULL OR p.fetched < v.valid_to) GROUP BY p.k)
+SELECT p.page_id, p.host, p.fetched, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_active, coalesce(hit.lists, '') AS lists, hit.n IS NOT NULL AS blocked FROM p LEFT JOIN hit USING (k)
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -57,6 +90,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, path, manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
@@ -65,10 +102,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
+    "op3_url_filters": op3_url_filters,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_token_output": op8_token_output,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": URL_SQL.format(values=", ".join(f"('{n}', '{d}', DATE '{at}', {str(on).lower()})" for n, d, at, on in LIST_EVENTS)),
+    "op10_licenses": licenses.oracle_sql(),
+}
