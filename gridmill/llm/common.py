@@ -46,6 +46,14 @@ def scan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def text_bytes(df: DataFrame, text: str) -> int:
+    """About the bytes of the table that holds the texts; counted where the optimizer can't tell."""
+    guess = scan_bytes(df)
+    if guess < 1 << 50:
+        return guess
+    return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // 2
+
+
 # ---------------------------------------------------------------- Arrow kernels
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import decontaminate, licenses, packing, pii, quality_cnn, quality_rules, simhash, token_output, url_filters
+from gridmill.llm import decontaminate, licenses, packing, pii, quality_cnn, quality_rules, simhash, substring_dedup, token_output, url_filters
 from gridmill.llm.common import fresh_path
 
 
@@ -75,6 +75,11 @@ SELECT p.page_id, p.host, p.fetched, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_act
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "score", "first_word", "last_word")
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_pii": op2_pii,
     "op3_url_filters": op3_url_filters,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
