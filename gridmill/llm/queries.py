@@ -22,9 +22,12 @@ def vocabulary(file: str) -> str:
     return public_tokenizers.path(file)
 
 
+def op1_columns(pieces: DataFrame, *more: str) -> DataFrame:
+    return pieces.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", *more)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return got.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return op1_columns(packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

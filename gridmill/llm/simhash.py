@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmill.llm import golay
 from gridmill.llm.common import U64, components, cut, map_text, mix, popcount, roots, texts
@@ -254,6 +255,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], schema=batch.schema.append(pa.field("gm_fp", pa.int64())))
 
     stay = groups(docs, id_col, text_col, shingle).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("s")).select(F.col("s.id").alias("gm_id"), F.col("s.fp").alias("gm_print"))
-    marked = docs.mapInArrow(run, docs.schema.add("gm_fp", "long"))
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("gm_fp", T.LongType())]))
     kept = marked.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("gm_id")) & (F.col("gm_fp") == F.col("gm_print")), "left_semi")
     return kept.dropDuplicates([id_col, "gm_fp"]).drop("gm_fp")
