@@ -1,0 +1,14 @@
+"""A fresh folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def fresh(spark: SparkSession, name: str) -> str:
+    """Below spark.checkpoint.dir; in a folder of this machine only where that is unset."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="gridmill-")
+    return f"{where.rstrip('/')}/gridmill/{name}-{uuid.uuid4().hex}"
