@@ -17,6 +17,7 @@ from gridmill.functions.numbers import strip
 from gridmill.functions.similarity import weighted_ratio
 from gridmill.operators.tables import KEY
 from gridmill.options import DEFAULT, Options
+from gridmill.shared import cut
 
 AREA, MEASURE, BREAKDOWN = "REF_AREA", "INDICATOR", "COMPOSITE_BREAKDOWN"
 
@@ -197,11 +198,11 @@ def to_long(cells: DataFrame, checks: DataFrame, context: DataFrame, vocabulary:
 
     rest = F.array_join(F.filter(F.array(F.when(F.col("row_kind") == "other", F.col("row_text")), F.when(F.col("col_kind") == "other", F.col("col_text"))), lambda p: p.isNotNull()), X.JOIN)
     x = x.withColumn("area_text", pick("area", F.lit(""))).withColumn("time_text", pick("year", F.col("period"))).withColumn("own", (F.col("row_kind") == "other") | (F.col("col_kind") == "other"))
-    x = x.withColumn("what", F.when(F.col("own"), rest).otherwise(F.col("subject")))
+    x = cut(x.withColumn("what", F.when(F.col("own"), rest).otherwise(F.col("subject"))), "axes")
     areas = resolve_areas(part_codes(x.select(F.col("area_text").alias("label")), vocabulary, fuzzy, options), options).withColumnRenamed("label", "area_text")
     x = x.join(areas, "area_text")
     joined = F.when((F.col("area_text") == "") | (F.col("area_rest") == ""), F.col("what")).when(F.col("what") == F.col("subject"), F.col("area_rest")).otherwise(F.concat_ws(X.JOIN, "area_rest", "what"))
-    x = x.withColumn("what", joined)
+    x = cut(x.withColumn("what", joined), "areas")
     split = split_indicators(part_codes(x.select(F.col("what").alias("label")), vocabulary, fuzzy, options)).withColumnRenamed("label", "what").withColumnRenamed("unit", "mapped_unit")
     titled = title_measures(context.select("title"), vocabulary, fuzzy, options)
     x = x.join(split, "what").join(titled, "title", "left")

@@ -1,4 +1,4 @@
-"""Grids to observations in one lazy plan."""
+"""Grids to observations: tall cells and checks are written once, as the plan reads them a dozen times."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from gridmill.operators import checks, coding, tables
 from gridmill.operators.tables import KEY
 from gridmill.options import DEFAULT, Options
+from gridmill.shared import cut
 
 
 @dataclass(frozen=True)
 class Observed:
-    """What the plan gives; every frame is lazy and shares the ones before it."""
+    """What the plan gives; cells and checks are tables in the shared folder, long is lazy."""
 
     framed: DataFrame
     cells: DataFrame
@@ -27,7 +28,7 @@ def observe(grids: DataFrame, context: DataFrame, vocabulary: DataFrame, key: Se
 
     `context` has the key and title, unit, subject, period, source of each table.
     """
-    framed = tables.frames(grids, key, options)
-    cells = tables.tall(framed, key)
-    found = checks.run_checks(framed, cells, key, options)
+    framed = cut(tables.frames(grids, key, options), "frames")
+    cells = cut(tables.tall(framed, key), "cells")
+    found = cut(checks.run_checks(framed, cells, key, options), "checks")
     return Observed(framed, cells, found, coding.to_long(cells, found, context, vocabulary, key, fuzzy, options))

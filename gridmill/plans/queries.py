@@ -212,7 +212,7 @@ def row_total_check(spark, d):
 def product_check(spark, d):
     line = I.table(spark, d, "lineitem").withColumn("a", F.col("l_partkey") + 100000.0).withColumn("y", F.col("l_quantity") * 100)
     line = line.withColumn("p", F.col("a") * F.col("y") / 1000 * F.when(F.col("l_orderkey") % 7 == 0, 1.1).otherwise(1.0)).withColumn("id", F.monotonically_increasing_id())
-    cells = line.select(F.lit("l").alias("doc"), F.col("l_suppkey").alias("page"), F.lit("text").alias("stage"), F.lit(0).alias("table_no"), F.col("id").alias("r"), F.concat_ws("-", "l_orderkey", "id").alias("row_label"), F.posexplode(F.array(F.struct(F.lit("Superficie (ha)").alias("n"), F.col("a").alias("v")), F.struct(F.lit("Rendement (kg/ha)"), F.col("y")), F.struct(F.lit("Production (t)"), F.col("p")))).alias("c", "x"))
+    cells = line.select(F.lit("l").alias("doc"), F.col("l_suppkey").alias("page"), F.lit("text").alias("stage"), F.lit(0).alias("table_no"), F.col("id").alias("r"), F.concat_ws("-", "l_orderkey", "id").alias("row_label"), F.posexplode(F.array(F.struct(F.lit("Superficie (ha)").alias("n"), F.col("a").alias("v")), F.struct(F.lit("Rendement (kg/ha)").alias("n"), F.col("y").alias("v")), F.struct(F.lit("Production (t)").alias("n"), F.col("p").alias("v")))).alias("c", "x"))
     got = checks.product_check(cells.select("*", F.col("x.n").alias("col_name"), F.col("x.v").alias("value")).drop("x"))
     return got.groupBy("page", "status").agg(F.count("*").alias("n"))
 
@@ -344,7 +344,7 @@ def period_normalise(spark, d):
 SELECT p_partkey, u.unit, u.mult FROM part JOIN (VALUES (0, 'M3', '3'), (1, 'KG_HA', '0'), (2, 'PER', '0'), (3, 'FCFA', '9'), (4, 'UNKNOWN', '0'), (5, 'T', '0'), (6, 'NUMBER', '6')) AS u(k, unit, mult) ON p_size % 7 = u.k
 """)
 def unit_multiplier(spark, d):
-    rows = I.sql(spark, d, "SELECT p_partkey, element_at(array('Eau en milliers de m³', 'Rendement (kg/ha)', 'Taux (%)', 'Budget en milliards de FCFA', 'Divers', 'Production en tonnes par an', 'Têtes (millions d’unités)'), CAST(p_size % 7 + 1 AS INT)) AS phrase FROM {part}")
+    rows = I.sql(spark, d, "SELECT p_partkey, element_at(array('en milliers de m³', 'Rendement (kg/ha)', 'Taux (%)', 'en milliards de FCFA', 'Divers', 'Production en tonnes par an', 'Têtes (millions d’unités)'), CAST(p_size % 7 + 1 AS INT)) AS phrase FROM {part}")
     return rows.withColumn("u", X.unit_for(F.col("phrase"), F.lit(""))).select("p_partkey", "u.unit", "u.mult")
 
 
@@ -640,7 +640,7 @@ def ocr_blocks(spark, d):
 def incremental_refresh(spark, d):
     """Events come in three files; a stream takes what is new at each of two calls."""
     from gridmill.streaming.refresh import refresh
-    from gridmill.streaming.shared import fresh
+    from gridmill.shared import fresh
 
     events = I.table(spark, d, "events").select("event_id", "event_type", "value")
     at = fresh(spark, "refresh")
