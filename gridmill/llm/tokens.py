@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: White_Space of Unicode, as the tokenizers' regular expressions know it. Fixed values.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 EDGE = re.compile(f"[{SPACE}]|^$")
 #: Latin letters, then marks that no tokenizer joins with letters: the two are encoded apart.

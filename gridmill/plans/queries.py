@@ -631,7 +631,7 @@ def markdown_tables(spark, d):
 def ocr_blocks(spark, d):
     rows = I.sql(spark, d, """
     SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey % 2 = 0 THEN to_json(struct(struct(b AS parsing_res_list) AS res)) ELSE to_json(struct(b AS parsing_res_list)) END AS json FROM (
-      SELECT n_nationkey, array(struct('text' AS block_label, 'title' AS block_content), struct('table', CASE WHEN n_nationkey % 3 = 0 THEN concat('<table><tr><td>', n_name, '</td><td>1</td></tr></table>') ELSE concat('| ', n_name, ' | 1 |') END), struct('table', ' ')) AS b FROM {nation})
+      SELECT n_nationkey, array(struct('text' AS block_label, 'title' AS block_content), struct('table' AS block_label, CASE WHEN n_nationkey % 3 = 0 THEN concat('<table><tr><td>', n_name, '</td><td>1</td></tr></table>') ELSE concat('| ', n_name, ' | 1 |') END AS block_content), struct('table' AS block_label, ' ' AS block_content)) AS b FROM {nation})
     """)
     return readers.ocr_grids(rows).select("id", F.size("cells").cast("long").alias("n_rows"), F.col("cells")[0][0].alias("first"))
 

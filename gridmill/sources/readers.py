@@ -69,8 +69,8 @@ def code_list_xml(xml: Column) -> Column:
 
 def markdown_grid(text: Column) -> Column:
     """Cells of a Markdown table: lines that begin with a pipe, the line of dashes left out."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n", -1), F.trim), lambda s: s.startswith("|") & ~s.rlike(r"^\|[\s:|-]*-[\s:|-]*$"))
-    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|", -1), F.trim))
+    lines = F.filter(F.transform(F.split(text, r"\r?\n", -1), lambda s: F.trim(s)), lambda s: s.startswith("|") & ~s.rlike(r"^\|[\s:|-]*-[\s:|-]*$"))
+    return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|", -1), lambda c: F.trim(c)))
 
 
 class _Table(HTMLParser):
