@@ -27,7 +27,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridmill.llm import golay
 from gridmill.llm.common import U64, components, cut, map_text, mix, popcount, roots, texts
@@ -240,21 +239,3 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = cut(named.join(least, "root").select("fp", "component_id"))
     return prints.join(label, "fp").select("id", "fp", "component_id")
-
-
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs without all but one row of each near-duplicate group; columns as they were.
-
-    The row with the group's smallest id stays; of several rows with that id, and in a group whose
-    ids are all null, one row with the smallest fingerprint.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in texts(batch.column(text_col))], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], schema=batch.schema.append(pa.field("gm_fp", pa.int64())))
-
-    stay = groups(docs, id_col, text_col, shingle).groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("s")).select(F.col("s.id").alias("gm_id"), F.col("s.fp").alias("gm_print"))
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("gm_fp", T.LongType())]))
-    kept = marked.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("gm_id")) & (F.col("gm_fp") == F.col("gm_print")), "left_semi")
-    return kept.dropDuplicates([id_col, "gm_fp"]).drop("gm_fp")
