@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridmill.llm import decontaminate, packing, pii, quality_cnn, simhash
+from gridmill.llm import decontaminate, near_copies, packing, pii, quality_cnn
 from gridmill.llm.common import fresh_path
 from gridmill.llm.queries import op1_columns, table, vocabulary
 
@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return simhash.near_dedup(docs)
+    """One document of each group of copies with a similarity of 0.8 or more (five-word shingles) stays."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
