@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import scan_bytes, slices
+from gridmill.llm.common import slices, text_bytes
 from gridmill.llm.tokens import encoder
 
 # Fixed values of the public seekable format.
@@ -148,7 +148,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
     and repeated tasks leave the same files. An empty table writes none. Returns the manifest, a row
     for each file.
     """
-    size = scan_bytes(docs)
+    size = text_bytes(docs, text_col)
     shards = max(6, size // min(max(16 << 20, size // 2000), 256 << 20))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(int(shards), "id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
