@@ -89,15 +89,13 @@ class Encoder:
             ids = self.memo[letters] = self.stem(letters)
         return ids + self.mark(m[2]) if m[2] else ids
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Puts chunks into the memo; a stem and the marks after it are looked up apart."""
         memo = self.memo
-        new = [c for c in chunks if c not in memo]
         if len(memo) + len(new) > MEMO:
             short = {c: v for c, v in memo.items() if len(c) <= 5}
             memo.clear()
             memo.update(short if len(short) < MEMO // 2 else {})
-            new = [c for c in chunks if c not in memo]
         rest = []
         for c in new:
             ids = self.word(c)
@@ -124,14 +122,17 @@ class Encoder:
         at = at - at[0]
         coded = flat.dictionary_encode()
         chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-        if self.blank:
-            bad = {c for c in chunks if c not in self.memo and EDGE.search(c[:1] + c[-1:])}
-        else:
-            bad = {""} & set(chunks)  # at the ends of a text
-            self.memo.update(dict.fromkeys(bad, b""))
-        self._learn([c for c in chunks if c not in bad] if bad else chunks)
-        memo = self.memo
-        ids = [memo.get(c, b"") for c in chunks]
+        ids = list(map(self.memo.get, chunks))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        bad: set[str] = set()
+        if missing:
+            new = [chunks[i] for i in missing]
+            if self.blank:
+                bad = {c for c in new if EDGE.search(c[:1] + c[-1:])}
+                new = [c for c in new if c not in bad]
+            self._learn(new)
+            for i in missing:
+                ids[i] = self.memo.get(chunks[i], b"")
         if self.blank:
             wrong = np.array([c in bad for c in chunks], bool)[codes] if bad else np.zeros(len(codes), bool)
             wrong[at[:-1]] = False
