@@ -14,6 +14,7 @@ from gridmill.operators import audit, checks, coding, select, summary, tables
 from gridmill.options import DEFAULT
 from gridmill.plans import inputs as I
 from gridmill.plans.observations import observe
+from gridmill.shared import cut
 from gridmill.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,7 +196,7 @@ def _orders(spark, d):
 
 
 def _cells(spark, d):
-    return tables.tall(tables.frames(I.order_grids(spark, d)))
+    return cut(tables.tall(tables.frames(I.order_grids(spark, d))), "cells")
 
 
 @query(_CROSS + "SELECT CAST(page AS BIGINT) AS page, 'Total' AS row, col AS \"column\", CASE WHEN page % 5 = 0 AND col = '1995' THEN 'fail' ELSE 'pass' END AS status FROM cells WHERE row = 'Total'")
