@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def fresh(spark: SparkSession, name: str) -> str:
     """Below spark.checkpoint.dir; in a folder of this machine only where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="gridmill-")
         spark.sparkContext.setCheckpointDir(where)
