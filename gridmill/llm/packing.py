@@ -24,7 +24,7 @@ from gridmill.llm.tokens import encoder
 
 WINDOW = 1024
 PIECE = 256
-BATCH_WINDOWS = 256
+BATCH_WINDOWS = 128
 SLICE = 4 << 20
 
 SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
