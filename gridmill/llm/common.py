@@ -23,7 +23,7 @@ U64 = np.uint64
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; one of our own only where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="gridmill-")
     if not spark.sparkContext.getCheckpointDir():
@@ -160,7 +160,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # dealt anew, so that the join has exchanges of its own on both sides and a hub's edges can be split
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition(F.xxhash64("a"))
         out = both.join(least, "a")
         if large:
             return out.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

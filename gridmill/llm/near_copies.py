@@ -201,7 +201,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     once = once.mapInArrow(named, "name long, print long, sketch binary")
     member = once.join(coarse, once["print"] == coarse["node"], "left").select("name", "sketch", F.coalesce("root", "print").alias("cls"))
     member = cut(member)
-    size = member.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1")
+    size = member.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").repartition(F.xxhash64("cls"))  # dealt anew, so that a large class can be split in the join
     live = member.join(size, "cls").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod("name", F.col("blocks")).cast("int"))
     spread = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     parts = max(64, n // 4_000)
@@ -226,7 +226,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     fine = components(spread.groupBy("part", "i", "j").applyInArrow(verify, "a long, b long"))
     ids = rows.groupBy("name").agg(F.min("id").alias("least"))
     top = ids.join(fine, ids["name"] == fine["node"], "left").select("name", "least", F.coalesce("root", "name").alias("root"))
-    best = top.groupBy("root").agg(F.min("least").alias("component_id"))
+    best = top.groupBy("root").agg(F.min("least").alias("component_id")).repartition(F.xxhash64("root"))
     label = cut(top.join(best, "root").select("name", "component_id"))
     return rows.select("id", "name").join(label, "name").select("id", "name", "component_id")
 

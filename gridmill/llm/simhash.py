@@ -236,6 +236,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     comp = components(near_links(distinct.select("fp"), distinct.count()))
     named = distinct.join(comp, distinct["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id")).repartition(F.xxhash64("root"))
     label = cut(named.join(least, "root").select("fp", "component_id"))
     return prints.join(label, "fp").select("id", "fp", "component_id")
