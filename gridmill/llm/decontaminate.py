@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds are runs of `SEED_WORDS` words of a benchmark item, letters and digits only, in lower case.
-One pass over the corpus counts how many documents hold each seed; an item keeps its seeds that are
-in at most `RARE_SHARE` of all documents, and at least its `LEAST_SEEDS` rarest ones, so that an
-item that a third of the corpus holds is still found. In a second pass each document that holds a
-seed is aligned with the seed's item around each place where a seed stands; the item is found if the
-local alignment scores `THRESHOLD` of the item's own score.
+Seeds are runs of `SEED_WORDS` words of a benchmark item, letters and digits only, in lower case. An
+item keeps all its seeds, rare or not, so each document that holds one is judged: around each place
+where a seed stands, a bound that the score can't exceed (the item's words in any stretch as long as
+an alignment can be) rules out most, and the rest is aligned. The item is found if the local
+alignment scores `THRESHOLD` of the item's own score. With words replaced or left out, a find in an
+item of more than ten words always holds a seed; words put in after every second word leave none.
 
 The benchmark is taken in blocks of `BLOCK_ITEMS` items of bounded size, each of which goes to all
 tasks as one closure; the corpus is read whole for each block and never shuffled.
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from gridmill.llm.common import U64, join2, mix, slices, split_words
 
 SEED_WORDS = 3
-RARE_SHARE = 1e-3
-LEAST_SEEDS = 8
 THRESHOLD = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -72,22 +70,6 @@ class Index:
     def short(self) -> list[int]:
         return sorted({len(w) for w in self.items if 0 < len(w) < SEED_WORDS})
 
-    def choose(self, documents: np.ndarray, total: int) -> None:
-        """Keeps the rare seeds of each item, and its LEAST_SEEDS rarest ones at least."""
-        mine: list[list[int]] = [[] for _ in self.items]
-        for k, items in enumerate(self.of):
-            for i in items:
-                mine[i].append(k)
-        kept: list[set[int]] = [set() for _ in self.seed]
-        for i, ks in enumerate(mine):
-            ks.sort(key=lambda k: (documents[k], k))
-            for n, k in enumerate(ks):
-                if n < LEAST_SEEDS or documents[k] <= RARE_SHARE * total:
-                    kept[k].add(i)
-        some = [k for k, s in enumerate(kept) if s]
-        self.of = [sorted(kept[k]) for k in some]
-        self.seed = self.seed[some]
-
     def found(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Word codes (0: in no item) and offsets of texts; rows and places (in the codes) where seeds stand, with their numbers."""
         distinct, codes, offsets = split_words(col)
@@ -136,6 +118,19 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def reachable(item: np.ndarray, text: np.ndarray, threshold: float) -> bool:
+    """Whether an alignment of item in text can score threshold of the item's own score.
+
+    A score of 2m - e from m matches and e other steps needs m of threshold * len(item) at least, and
+    spans m + e words of the text at most.
+    """
+    need = threshold * len(item)
+    span = max(1, int(3 * len(item) - 2 * need))
+    c = np.concatenate(([0], np.cumsum(np.isin(text, item))))
+    most = c[-1] if len(text) <= span else (c[span:] - c[:-span]).max()
+    return min(most, np.isin(item, text).sum()) >= need
+
+
 def aligned(index: Index, col: pa.Array, threshold: float) -> list[tuple[int, int, int, int, int]]:
     """(row, item number, score, first word, last word) of each item found in each text, words counted without those of marks alone."""
     known, offsets, places, seeds = index.found(col)
@@ -157,11 +152,12 @@ def aligned(index: Index, col: pa.Array, threshold: float) -> list[tuple[int, in
             if after is not None and after - p <= reach:
                 continue
             a, b = max(first, start - reach), min(last, p + SEED_WORDS + reach)
-            score, end = align(item, known[a:b])
-            if score > best[0]:
-                best = (score, a + end)
+            if reachable(item, known[a:b], threshold):
+                score, end = align(item, known[a:b])
+                if score > best[0]:
+                    best = (score, a + end)
             start = None
-        if best[0] >= threshold * MATCH * len(item):
+        if best[0] and best[0] >= threshold * MATCH * len(item):
             out.append((r, i, best[0], max(0, best[1] - first - len(item) + 1), best[1] - first))
     return out
 
@@ -179,33 +175,6 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[
         yield part
 
 
-def index_of(docs: DataFrame, block: list[tuple[int, str | None]], text_col: str) -> Index:
-    """A block's index with its rare seeds chosen by counts over all documents."""
-    index = Index(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = np.zeros(len(index.seed), np.int64), 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                total += part.num_rows
-                _, offsets, places, seeds = index.found(part.column(0))
-                row = np.searchsorted(offsets, places, side="right") - 1
-                both = np.unique(row * max(1, len(index.seed)) + seeds)
-                n += np.bincount(both % max(1, len(index.seed)), minlength=len(index.seed))[: len(index.seed)]
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(n[some], total))], ["seed", "n"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    n, total = np.zeros(len(index.seed), np.int64), 0
-    for r in counted:  # a row for each seed of the block at most
-        if r["seed"] < 0:
-            total = r["n"]
-        else:
-            n[r["seed"]] = r["n"]
-    index.choose(n, total)
-    return index
-
-
 def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item, score (share of the item's own), first_word, last_word for each item found in each row of docs.
 
@@ -216,7 +185,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     schema = "id long, item long, score double, first_word long, last_word long"
     out = None
     for block in blocks(benchmark, item_col, item_text_col):
-        index = index_of(docs, block, text_col)
+        index = Index(block)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -235,7 +204,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 def drop(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs in which no benchmark item is found; columns as they were."""
     for block in blocks(benchmark, item_col, item_text_col):
-        index = index_of(docs, block, text_col)
+        index = Index(block)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -193,6 +193,34 @@ def test_decontamination(spark, docs, corpus, empty):
     assert decontaminate.search(docs, bench.limit(0)).count() == 0 and decontaminate.search(empty, bench).count() == 0
 
 
+def test_edited_copies_are_found_in_small_tables_and_in_groups(spark):
+    rng = random.Random(11)
+    lexicon = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    item = rng.sample(lexicon, 40)
+    texts = []
+    for n in range(3, 9):
+        edited = list(item)
+        for k in range(n):
+            edited[3 + k * (34 // (n - 1))] = f"edit{k}"
+        if 2 * (40 - n) - n >= 0.6 * 80:
+            texts.append(" ".join(rng.sample(lexicon, 30) + edited + rng.sample(lexicon, 30)))
+    assert len(texts) == 6
+    others = [" ".join(rng.sample(lexicon, 80)) for _ in range(150)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for times in (1, 40):  # each copy alone, and a group of copies that makes its seeds common
+        docs = spark.createDataFrame(list(enumerate(texts * times + others)), "doc_id long, text string").repartition(3)
+        assert {r["id"] for r in decontaminate.search(docs, bench).collect()} == set(range(6 * times))
+        assert decontaminate.drop(docs, bench).count() == len(others)
+
+
+def test_bound_refuses_no_find():
+    rng = np.random.default_rng(6)
+    for _ in range(2000):
+        a, b = rng.integers(1, 12, rng.integers(1, 20)), rng.integers(0, 12, rng.integers(0, 80))
+        if decontaminate.align(a, b)[0] >= 0.6 * 2 * len(a):
+            assert decontaminate.reachable(a, b, 0.6)
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(5)
     for _ in range(50):
