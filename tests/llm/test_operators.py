@@ -313,6 +313,29 @@ def test_near_copies(docs, empty, corpus):
     assert near_copies.keep_one(empty).count() == 0
 
 
+def block_edits(seed, least, most, pairs):
+    """Texts, each followed by a copy with a block replaced or cut off, of shingle similarity from least to below most; their similarities."""
+    rng = np.random.default_rng(seed)
+    texts, shares = [], []
+    while len(shares) < pairs:
+        w = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+        k = int(rng.integers(5, 70))
+        at = int(rng.integers(0, 300 - k))
+        c = w[:at] + [f"x{x}" for x in rng.integers(0, 1 << 40, k)] + w[at + k :] if len(shares) % 2 else w[:-k]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, c))
+        share = len(x & y) / len(x | y)
+        if least <= share < most:
+            texts += [" ".join(w), " ".join(c)]
+            shares.append(share)
+    return texts, shares
+
+
+def test_near_copies_with_block_edits_are_candidates(spark):
+    texts, _ = block_edits(7, 0.87, 0.9, 300)
+    got = {r["id"]: r["component_id"] for r in near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [i for i in range(0, len(texts), 2) if got[i] != got[i + 1]] == []
+
+
 # ---------------------------------------------------------------- 8 token files
 
 
