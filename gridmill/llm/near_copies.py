@@ -13,9 +13,10 @@ texts of similarity s share a key with 1 - (1 - s^4)^20, whatever the edit. Pair
 are candidates if at most `SIGNS` of the 128 minima's sign bits differ. At 0.8 both together keep all
 but 3 in 100,000 pairs, at 0.85 all but 1 in 1,000,000.
 
-Candidates form coarse classes. Within a class, texts are verified by the similarity of their shingle
-sets, which a sketch of `BINS` bins (one-permutation minhash) measures with a standard error of
-0.025 at 0.8, and only verified links count. Large classes are verified in pairs of blocks, so no
+Candidates form coarse classes. Within a class, a sketch of `BINS` bins (one-permutation minhash, a
+standard error of 0.025 at 0.8) refuses pairs `ERRORS` standard errors below the similarity; all
+others are verified by their sets of shingle hashes, and only verified links count. The sets are made
+for texts of classes of two and more alone: a filter of fixed size tells which texts these may be. Large classes are verified in pairs of blocks, so no
 task holds more than two blocks and no pair of texts of a class is left out.
 """
 
@@ -32,15 +33,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmill.llm import golay
-from gridmill.llm.common import U64, components, cut, join2, map_text, mix, popcount, roots, texts
+from gridmill.llm.common import U64, components, cut, join2, map_text, mix, popcount, roots, slices, texts
 
 BITS, SEGMENTS = 92, 4
 DISTANCE = 18
 BANDS, ROWS = 20, 4
 SIGNS = 32
 BINS = 256
-#: The sketch's error below the similarity that is asked for.
-MARGIN = 0.01
+#: Standard errors of the sketch below the similarity, from which on a pair isn't verified.
+ERRORS = 5
+#: The filter of texts in classes has this many words of 64 bits.
+FILTER = 1 << 18
 BLOCK = 1024
 BUCKET_PRINTS = 2_000
 
@@ -65,6 +68,15 @@ def keys(h: np.ndarray) -> bytes:
     return np.array((name >> U64(32), signs[0], signs[1]), KEYS).tobytes()
 
 
+def shingles(line: bytes, words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the runs of `shingle` words of a line of words with single blanks; a shorter line is one run."""
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = np.concatenate(([0], ends[:-1]))
+    n = max(1, len(words) - shingle + 1)
+    last = ends[min(shingle, len(words)) - 1 :]
+    return np.array([xxhash.xxh3_64_intdigest(line[s : e - 1]) for s, e in zip(starts[:n].tolist(), last.tolist())], U64)
+
+
 def described(text: bytes, shingle: int) -> tuple[int, int, int, bytes, bytes]:
     """(hash of the words, low 64 bits, high 28 bits, sketch, keys) of a text, A-Z lower-cased."""
     words = text.lower().split()
@@ -75,11 +87,7 @@ def described(text: bytes, shingle: int) -> tuple[int, int, int, bytes, bytes]:
     distinct = b"".join([xxhash.xxh3_128_digest(w) for w in set(words)])
     bits = np.unpackbits(np.frombuffer(distinct, np.uint8).reshape(-1, 16)[:, :12], axis=1, bitorder="little")
     print_ = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits), bitorder="little")
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))
-    n = max(1, len(words) - shingle + 1)
-    last = ends[min(shingle, len(words)) - 1 :]
-    h = np.array([xxhash.xxh3_64_intdigest(line[s : e - 1]) for s, e in zip(starts[:n].tolist(), last.tolist())], U64)
+    h = shingles(line, words, shingle)
     sketch = np.full(BINS, 1 << 56, np.int64)
     np.minimum.at(sketch, (h % U64(BINS)).astype(int), (h >> U64(8)).astype(np.int64))
     short = np.where(sketch < 1 << 56, 1 + (mix(sketch.astype(U64)) % U64(65535)).astype(np.int64), 0).astype("<u2")
@@ -129,13 +137,13 @@ def dealt(prints: DataFrame, buckets: int) -> DataFrame:
 
 
 def banded(rows: DataFrame, buckets: int) -> DataFrame:
-    """Entries of texts (name, print, sketch, keys) in the files of their bands, by bucket."""
+    """Entries of texts (a, b, keys) in the files of their bands, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
-                print_ = batch.column(0).slice(lo, 4096).to_numpy(zero_copy_only=False).view(U64)
-                k = np.frombuffer(b"".join(batch.column(1).slice(lo, 4096).to_pylist()), KEYS)
+                print_ = print_name(*(batch.column(i).slice(lo, 4096).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1)))
+                k = np.frombuffer(b"".join(batch.column(2).slice(lo, 4096).to_pylist()), KEYS)
                 e = np.empty((len(k), BANDS), KEYED)
                 e["file"], e["print"], e["low"], e["high"] = k["file"], print_[:, None], k["low"][:, None], k["high"][:, None]
                 e = e.ravel()
@@ -145,7 +153,7 @@ def banded(rows: DataFrame, buckets: int) -> DataFrame:
                 bucket, first, n = np.unique(of[order], return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array([e[i : i + k].tobytes() for i, k in zip(first, n)], pa.binary())], ["bucket", "blob"])
 
-    return rows.select("print", "keys").mapInArrow(run, "bucket long, blob binary")
+    return rows.select("a", "b", "keys").distinct().mapInArrow(run, "bucket long, blob binary")
 
 
 def print_name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,20 +215,38 @@ def thinned(f: np.ndarray, name: np.ndarray, a: np.ndarray, b: np.ndarray, limit
     return nodes[below], nodes[top[below]]
 
 
-def similar(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Estimated similarity of a sketch with each of others."""
+def possible(sketch: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether others may have that similarity with a sketch's text, by ERRORS standard errors."""
     same = ((others == sketch) & (others > 0)).sum(1)
-    return same / np.maximum(((others > 0) | (sketch > 0)).sum(1), 1)
+    bins = ((others > 0) | (sketch > 0)).sum(1)
+    return same >= similarity * bins - ERRORS * np.sqrt(similarity * (1 - similarity) * bins)
+
+
+def similar(own: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether sets of hashes (sorted) have that similarity with a text's own."""
+    size = np.array([len(x) for x in others])
+    flat = np.concatenate(others)
+    if not len(own) or not len(flat):
+        return np.zeros(len(others), bool)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    c = np.concatenate(([0], np.cumsum(hit)))
+    end = np.cumsum(size)
+    common = c[end] - c[end - size]
+    return common >= similarity * (size + len(own) - common) - 1e-9
 
 
-def verified(names: np.ndarray, sketches: np.ndarray, least: float) -> tuple[list, list]:
+def verified(names: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list, list]:
     """Links that connect the texts of one class as all links of that similarity would."""
     out_a, out_b, rest = [], [], np.arange(len(names))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             i = queue.pop()
-            hit = similar(sketches[i], sketches[rest]) >= least
+            hit = possible(sketches[i], sketches[rest], similarity)
+            at = np.flatnonzero(hit)
+            for lo in range(0, len(at), 64):
+                few = at[lo : lo + 64]
+                hit[few] = similar(sets[i], [sets[k] for k in rest[few]], similarity)
             found = rest[hit]
             out_a += [names[i]] * len(found)
             out_b += names[found].tolist()
@@ -229,6 +255,38 @@ def verified(names: np.ndarray, sketches: np.ndarray, least: float) -> tuple[lis
     return out_a, out_b
 
 
+def place(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of names in the filter."""
+    m = mix(names.view(U64))
+    return (m % U64(FILTER)).astype(np.int64), m >> U64(58)
+
+
+def sets_of(docs: DataFrame, names: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """name, set (sorted hashes of shingles) of the texts with names, and of a few others."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = place(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((U64(1) << bit).view(np.int64))], ["word", "bit"])
+
+    got = names.select("name").mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = np.zeros(FILTER, U64)  # at most FILTER rows, whatever the input
+    words[got.column("word").to_numpy()] = got.column("bit").to_numpy().view(U64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lines = [b" ".join(t.lower().split()) for t in texts(part.column(0))]
+                own = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], U64)
+                word, bit = place(own)
+                some = np.flatnonzero(words[word] >> bit & U64(1))
+                blobs = [np.unique(shingles(lines[k], lines[k].split(), shingle)).tobytes() if lines[k] else b"" for k in some]
+                yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(blobs, pa.binary())], ["name", "set"])
+
+    made = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "name long, set binary")
+    return made.groupBy("name").agg(F.min("set").alias("set"))
+
+
 def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """id, name (hash of the row's words), component_id (least id of the group), a row for each row of docs.
 
@@ -251,22 +309,22 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(print_name(a, b).view(np.int64)), batch.column(3), batch.column(4)], ["name", "print", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(print_name(a, b).view(np.int64)), batch.column(3)], ["name", "print", "sketch"])
 
-    once = rows.groupBy("name").agg(F.min(F.struct("a", "b", "sketch", "keys")).alias("s")).select("name", "s.a", "s.b", "s.sketch", "s.keys")
-    once = once.mapInArrow(named, "name long, print long, sketch binary, keys binary")
+    once = rows.groupBy("name").agg(F.min(F.struct("a", "b", "sketch")).alias("s")).select("name", "s.a", "s.b", "s.sketch")
+    once = once.mapInArrow(named, "name long, print long, sketch binary")
     buckets = max(64, n // BUCKET_PRINTS)
     near = dealt(prints, buckets).groupBy("bucket").applyInArrow(links, "a long, b long")
-    coarse = components(near.union(banded(once, buckets).groupBy("bucket").applyInArrow(band_pairs, "a long, b long")))
+    coarse = components(near.union(banded(rows, buckets).groupBy("bucket").applyInArrow(band_pairs, "a long, b long")))
     member = once.join(coarse, once["print"] == coarse["node"], "left").select("name", "sketch", F.coalesce("root", "print").alias("cls"))
     member = cut(member)
     size = member.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").repartition(F.xxhash64("cls"))  # dealt anew, so that a large class can be split in the join
-    live = member.join(size, "cls").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod("name", F.col("blocks")).cast("int"))
+    live = cut(member.join(size, "cls"))
+    live = live.join(sets_of(docs, live, text_col, shingle), "name").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod("name", F.col("blocks")).cast("int"))
     spread = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     parts = max(64, n // 4_000)
     part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cls"), F.lit(parts))).otherwise(F.pmod(F.xxhash64("cls", "i", "j"), F.lit(parts)))
-    spread = spread.select(part.alias("part"), "cls", "i", "j", "name", "sketch")
-    least = similarity - MARGIN
+    spread = spread.select(part.alias("part"), "cls", "i", "j", "name", "sketch", "set")
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cls", "ascending"), ("i", "ascending"), ("j", "ascending"), ("name", "ascending")])
@@ -274,12 +332,16 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
         names = table.column("name").to_numpy()
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
         out_a, out_b = [], []
-        blobs = table.column("sketch")
+        blobs, sets = table.column("sketch"), table.column("set")
         for s, e in zip(start, [*start[1:], len(names)]):
             sketches = np.frombuffer(b"".join(x.as_py() for x in blobs.slice(s, e - s)), "<u2").reshape(-1, BINS)
-            a, b = verified(names[s:e], sketches, least)
+            if e - s < 2:
+                continue
+            a, b = verified(names[s:e], sketches, [np.frombuffer(x.as_py(), U64) for x in sets.slice(s, e - s)], similarity)
             out_a += a
             out_b += b
+        del table, blobs, sets
+        pa.default_memory_pool().release_unused()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     fine = components(spread.groupBy("part", "i", "j").applyInArrow(verify, "a long, b long"))

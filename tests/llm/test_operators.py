@@ -336,6 +336,12 @@ def test_near_copies_with_block_edits_are_candidates(spark):
     assert [i for i in range(0, len(texts), 2) if got[i] != got[i + 1]] == []
 
 
+def test_near_copies_are_verified_exactly(spark):
+    texts, shares = block_edits(8, 0.76, 0.84, 300)
+    got = {r["id"]: r["component_id"] for r in near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [s for i, s in enumerate(shares) if (got[2 * i] == got[2 * i + 1]) != (s >= 0.8)] == []
+
+
 # ---------------------------------------------------------------- 8 token files
 
 
