@@ -40,7 +40,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?:[ :#=]|no\.?|number)*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:no\.?|number|nr\.?|id))?[ :#=]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
-LOGIN = re.compile(r"([A-Za-z0-9._~%+-]{1,64}:[^\s/@:]{1,128})@[A-Za-z0-9]")
+LOGIN = re.compile(r"([A-Za-z0-9._~%+-]++:[^\s/@:]++)@[A-Za-z0-9]")
 
 #: Words that announce an identifier, in lower case; also found capitalised and in capitals.
 IBAN_CUES = ("iban",)

@@ -132,6 +132,14 @@ def test_added_spans_and_redaction(spark, docs, empty):
     assert pii.spans(docs).count() == docs.count() and pii.spans(empty).count() == 0
 
 
+def test_logins_of_any_length():
+    for user, secret in (("u" * 65, "s"), ("user", "t" * 129), ("u" * 500, "eyJ" + "x.Y-_" * 1000)):
+        text = f"see https://{user}:{secret}@host.example for it"
+        assert ("login", 12, 13 + len(user) + len(secret)) in pii.find(text)
+        assert pii.hide(text) == "see https://<LOGIN> for it"
+    assert not [x for x in pii.find("https://" + "u" * 1_000_000 + " https://u:" + "s" * 1_000_000) if x[0] == "login"]
+
+
 # ---------------------------------------------------------------- 3 URL filters
 
 
