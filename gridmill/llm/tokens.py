@@ -21,11 +21,39 @@ import pyarrow.compute as pc
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 EDGE = re.compile(f"[{SPACE}]|^$")
-#: Latin letters, then marks that no tokenizer joins with letters: the two are encoded apart.
-STEM = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?*$%&#|()\"]*)")
-
-#: Chunks in the memo of one Python worker; beyond, it keeps short ones only, or starts anew.
-MEMO = 800_000
+#: Latin letters of which a stem may be made, so far as a tokenizer's normalizer leaves each of them one of them.
+LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)) if c not in (0xD7, 0xF7)]
+#: Marks that no tokenizer joins with letters: a stem and the marks after it are encoded apart.
+MARKS = r"[.,;:!?*$%&#|()\"]*"
+
+#: Bytes of a worker's memo of chunks, about; beyond, it keeps short ones only, or starts anew.
+MEMO_BYTES = 128 << 20
+#: What an entry takes beside its texts, about; longer chunks than LONGEST letters are never kept.
+ENTRY_BYTES, LONGEST = 200, 64
+#: Letters handed to the library at once, about, as its results take many times their size.
+BATCH_LETTERS = 1 << 20
+
+
+class Memo(dict):
+    """Ids by chunk, bounded in bytes; long chunks are not kept."""
+
+    def __init__(self, limit: int) -> None:
+        super().__init__()
+        self.limit, self.size = limit, 0
+
+    def add(self, chunk: str, ids: bytes) -> bytes:
+        if len(chunk) <= LONGEST:
+            self.size += ENTRY_BYTES + len(chunk) + len(ids)
+            if self.size > self.limit:
+                short = [(c, v) for c, v in self.items() if len(c) <= 5]
+                self.clear()
+                self.size = sum(ENTRY_BYTES + len(c) + len(v) for c, v in short)
+                if self.size < self.limit // 2:
+                    self.update(short)
+                else:
+                    self.size = 0
+            self[chunk] = ids
+        return ids
 
 
 class Encoder:
@@ -44,59 +72,60 @@ class Encoder:
         self.mode = _mode(spec)
         self.blank = " " if self.mode == "blank" else ""
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in (32, *range(0xC0, 0x250))}
-        self.memo: dict[str, bytes] = {}
-        self.firsts: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        norm = self.tokenizer.normalizer
+        own = {c: norm.normalize_str(c) if norm else c for c in LETTERS}
+        plain = [c for c in LETTERS if own[c] in own and own[own[c]] == own[c]]
+        self.form = {ord(c): own[c] for c in plain}  # a letter as the normalizer leaves it
+        self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in (" ", *plain)}
+        self.stems = re.compile(f"([{''.join(plain)}]+)({MARKS})")
+        self.memo, self.firsts, self.marks = Memo(MEMO_BYTES), Memo(MEMO_BYTES // 8), Memo(MEMO_BYTES // 8)
 
     def direct(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by the library, in batches of bounded size; a single longer text goes alone."""
+        out, part, size = [], [], 0
+        for t in texts:
+            if part and size + len(t) > BATCH_LETTERS:
+                out += self._batch(part)
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        return out + self._batch(part)
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def stem(self, letters: str) -> bytes:
-        """A word of Latin letters is one piece to the pre-tokenizer, so the model takes it as it is."""
-        return array("I", [t.id for t in self.model.tokenize((self.blank + letters).translate(self.level))]).tobytes()
+        """A normalized word of Latin letters is one piece to the pre-tokenizer, so the model takes it as it is."""
+        return array("I", [t.id for t in self.model.tokenize(letters.translate(self.level))]).tobytes()
 
     def head(self, chunk: str) -> bytes:
         """Ids of a chunk with no blank before it."""
         ids = self.firsts.get(chunk)
         if ids is None:
-            m = STEM.fullmatch(chunk)
-            if m is None:
-                ids = self.direct([chunk])[0]
-            else:
-                ids = array("I", [t.id for t in self.model.tokenize(m[1].translate(self.level))]).tobytes() + self.mark(m[2])
-            if len(self.firsts) > MEMO // 10:
-                self.firsts.clear()
-            self.firsts[chunk] = ids
+            m = self.stems.fullmatch(chunk)
+            ids = self.firsts.add(chunk, self.direct([chunk])[0] if m is None else self.stem(m[1].translate(self.form)) + self.mark(m[2]))
         return ids
 
     def mark(self, marks: str) -> bytes:
+        if not marks:
+            return b""
         ids = self.marks.get(marks)
-        if ids is None:
-            if len(self.marks) > MEMO // 10:
-                self.marks = {"": b""}
-            ids = self.marks[marks] = self.direct([marks])[0]
-        return ids
+        return self.marks.add(marks, self.direct([marks])[0]) if ids is None else ids
 
     def word(self, chunk: str) -> bytes | None:
         """Ids of letters and the marks after them; None where a chunk is anything else."""
-        m = STEM.fullmatch(chunk)
+        m = self.stems.fullmatch(chunk)
         if m is None:
             return None
-        letters = m[1] if self.blank else m[1].lower()
+        letters = m[1].translate(self.form)
         ids = self.memo.get(letters)
         if ids is None:
-            ids = self.memo[letters] = self.stem(letters)
+            ids = self.memo.add(letters, self.stem(self.blank + letters))
         return ids + self.mark(m[2]) if m[2] else ids
 
-    def _learn(self, new: list[str]) -> None:
-        """Puts chunks into the memo; a stem and the marks after it are looked up apart."""
-        memo = self.memo
-        if len(memo) + len(new) > MEMO:
-            short = {c: v for c, v in memo.items() if len(c) <= 5}
-            memo.clear()
-            memo.update(short if len(short) < MEMO // 2 else {})
-        rest = []
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of chunks, which the memo keeps so far as it may; a stem and the marks after it are looked up apart."""
+        got, rest = {}, []
         for c in new:
             ids = self.word(c)
             if ids is None and self.blank and "\n" in c:  # a single line feed between two words is a piece of its own
@@ -106,8 +135,10 @@ class Encoder:
             if ids is None:
                 rest.append(c)
             else:
-                memo[c] = ids
-        memo.update(zip(rest, self.direct([self.blank + c for c in rest])))
+                got[c] = self.memo.add(c, ids)
+        for c, ids in zip(rest, self.direct([self.blank + c for c in rest])):
+            got[c] = self.memo.add(c, ids)
+        return got
 
     def encode_column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column, one after another, and the offset of each text's first; null is empty."""
@@ -130,9 +161,9 @@ class Encoder:
             if self.blank:
                 bad = {c for c in new if EDGE.search(c[:1] + c[-1:])}
                 new = [c for c in new if c not in bad]
-            self._learn(new)
+            got = self.learn(new)
             for i in missing:
-                ids[i] = self.memo.get(chunks[i], b"")
+                ids[i] = got.get(chunks[i], b"")
         if self.blank:
             wrong = np.array([c in bad for c in chunks], bool)[codes] if bad else np.zeros(len(codes), bool)
             wrong[at[:-1]] = False

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridmill.llm import decontaminate, golay, licenses, near_copies, packing, pii, quality_cnn, quality_rules, simhash, substring_dedup, token_output, url_filters
+from gridmill.llm import decontaminate, golay, licenses, near_copies, packing, pii, quality_cnn, quality_rules, simhash, substring_dedup, token_output, tokens, url_filters
 from gridmill.llm.common import components, fresh_path, roots
 from gridmill.llm.tokens import Encoder
 
@@ -60,6 +60,30 @@ def test_encoder_equals_the_library(path, corpus):
     assert [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)] == want  # from the memo
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_letter_alone_in_words_and_at_case_changes(path):
+    points = [chr(c) for c in range(0x3000)]
+    texts = [t for c in points for t in (c, f"ab{c}cd {c}stanbul.", f"x {c}b B{c.upper()} {c.lower()}Z", f"DI{c}AR, {c}{c}!")]
+    rng = random.Random(12)
+    latin = [*"abcXYZ", *points[0xC0:0x250]]
+    texts += [" ".join("".join(rng.choice(latin) for _ in range(rng.randint(1, 6))) + rng.choice([".", ",", "!?", ""]) for _ in range(5)) for _ in range(4000)]
+    e = Encoder(path)
+    want = [x.ids for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    for _ in range(2):  # again, from the memo
+        got = [np.frombuffer(b, "<u4").tolist() for b in e.encode(texts)]
+        assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_the_memo_is_bounded_in_bytes():
+    e = Encoder(WORD)
+    e.encode(["x" * 9000, "日本語" * 3000])
+    assert not any(len(c) > 64 for m in (e.memo, e.firsts, e.marks) for c in m)
+    small = tokens.Memo(100_000)
+    for i in range(5000):
+        small.add(f"chunk{i}", b"0123")
+        assert len(small) * 200 <= 100_000 and small[f"chunk{i}"] == b"0123"
+
+
 # ---------------------------------------------------------------- 1 packing
 
 
