@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill.shared import fresh, shared_folder
+
 #: Bytes of text that a kernel takes at once; a single longer text is taken alone.
 SLICE_BYTES = 4 << 20
 
@@ -21,23 +21,14 @@ U64 = np.uint64
 # ---------------------------------------------------------------- the shared folder
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="gridmill-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/gridmill/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, deleted when the application ends."""
+    return fresh(spark, name)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -100,6 +91,37 @@ def split_words(col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), offsets
 
 
+# ---------------------------------------------------------------- sets of keys as bits
+
+#: A set of keys has this many words of 64 bits, whatever the input: 2 MB.
+FILTER_WORDS = 1 << 18
+
+
+def bit_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of keys (long) in a set of bits."""
+    m = mix(keys.view(U64))
+    return (m % U64(FILTER_WORDS)).astype(np.int64), m >> U64(58)
+
+
+def bits_of(keys: DataFrame) -> np.ndarray:
+    """A set of bits of a DataFrame's only column (long, not null): every key is in it, and some others."""
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, bit = bit_of(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((U64(1) << bit).view(np.int64))], ["word", "bit"])
+
+    got = keys.mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
+    words = np.zeros(FILTER_WORDS, U64)  # at most so many rows come to the driver
+    words[got.column("word").to_numpy()] = got.column("bit").to_numpy().view(U64)
+    return words
+
+
+def in_bits(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word, bit = bit_of(keys)
+    return (words[word] >> bit & U64(1)).astype(bool)
+
+
 # ---------------------------------------------------------------- 64-bit mixing
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmill.llm import golay
-from gridmill.llm.common import U64, components, cut, join2, map_text, mix, popcount, roots, slices, texts
+from gridmill.llm.common import U64, bits_of, components, cut, in_bits, join2, map_text, mix, popcount, roots, slices, texts
 
 BITS, SEGMENTS = 92, 4
 DISTANCE = 18
@@ -42,8 +42,6 @@ SIGNS = 32
 BINS = 256
 #: Standard errors of the sketch below the similarity, from which on a pair isn't verified.
 ERRORS = 5
-#: The filter of texts in classes has this many words of 64 bits.
-FILTER = 1 << 18
 BLOCK = 1024
 BUCKET_PRINTS = 2_000
 
@@ -255,31 +253,17 @@ def verified(names: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], si
     return out_a, out_b
 
 
-def place(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word and bit of names in the filter."""
-    m = mix(names.view(U64))
-    return (m % U64(FILTER)).astype(np.int64), m >> U64(58)
-
-
 def sets_of(docs: DataFrame, names: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """name, set (sorted hashes of shingles) of the texts with names, and of a few others."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, bit = place(batch.column(0).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array((U64(1) << bit).view(np.int64))], ["word", "bit"])
-
-    got = names.select("name").mapInArrow(bits, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-    words = np.zeros(FILTER, U64)  # at most FILTER rows, whatever the input
-    words[got.column("word").to_numpy()] = got.column("bit").to_numpy().view(U64)
+    words = bits_of(names.select("name"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 lines = [b" ".join(t.lower().split()) for t in texts(part.column(0))]
                 own = np.array([xxhash.xxh3_64_intdigest(x) for x in lines], U64)
-                word, bit = place(own)
-                some = np.flatnonzero(words[word] >> bit & U64(1))
+                some = np.flatnonzero(in_bits(words, own))
                 blobs = [np.unique(shingles(lines[k], lines[k].split(), shingle)).tobytes() if lines[k] else b"" for k in some]
                 yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(blobs, pa.binary())], ["name", "set"])
 

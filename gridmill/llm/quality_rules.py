@@ -1,9 +1,13 @@
 """Quality rules and a likelihood-ratio test on hashed n-grams.
 
 Words and word pairs are hashed to `BUCKETS` cells. Two multinomials with additive smoothing are
-counted: one over a bounded, hash-ordered sample of trusted documents (label 1; at most
-`TRUSTED_ROWS`), one over all documents. A document's verdict is its mean log-likelihood ratio a
-feature against a fixed threshold; a document without features has ratio 0.
+counted: one over all trusted documents (label 1), one over all documents. A document's verdict is
+its mean log-likelihood ratio a feature against a fixed threshold; a document without features has
+ratio 0.
+
+Both counts are added up in each task before `BUCKETS` rows of it are shuffled. To count trusted
+documents only those whose ids may be trusted, by a set of bits of fixed size, are joined with the
+labels, so texts that nobody labelled stay where they are.
 """
 
 from __future__ import annotations
@@ -13,14 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridmill.llm.common import U64, join2, mix, slices, split_words, texts
+from gridmill.llm.common import U64, bits_of, in_bits, join2, mix, slices, split_words, texts
 
 BUCKETS = 8192
-TRUSTED_ROWS = 20_000
 SMOOTHING = 1.0
 #: Mean log-likelihood ratio a feature below which a document is rejected.
 THRESHOLD = -0.05
@@ -42,8 +46,6 @@ def hashed(col: pa.Array) -> Words:
     distinct, codes, offsets = split_words(col)
     raw = distinct.cast(pa.binary()).to_pylist()
     names = np.array([xxhash.xxh3_64_intdigest(w) for w in raw], U64)
-    import pyarrow.compute as pc
-
     chars = pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     return Words(names[codes] if len(codes) else np.zeros(0, U64), row, offsets, chars[codes] if len(codes) else np.zeros(0, np.int64))
@@ -57,32 +59,39 @@ def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return cells.astype(np.int64), np.concatenate((w.row, w.row[1:][pair]))
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", rows: int = TRUSTED_ROWS) -> list[int]:
-    """Ids of at most `rows` trusted documents, those with the least hashes."""
-    good = labels.filter((F.col(quality_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    return [r["id"] for r in good.orderBy(F.xxhash64("id"), "id").limit(rows).collect()]
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
+    """id of each document with a label 1."""
+    return labels.filter((F.col(quality_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
 
 
-def counts(docs: DataFrame, trusted: list[int], id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features a cell over trusted and over all documents: each task adds up its own rows first."""
-    chosen = np.array(sorted(trusted), np.int64)
+def cell_counts(rows: DataFrame) -> DataFrame:
+    """cell, n: features of a column of texts; each task adds up its own rows first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        n = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                cells, row = features(hashed(part.column(1)))
-                raw += np.bincount(cells, minlength=BUCKETS)
-                ids = np.array([i if i is not None else -(1 << 63) for i in part.column(0).to_pylist()], np.int64)
-                good += np.bincount(cells[np.isin(ids, chosen)[row]], minlength=BUCKETS)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"cell": some.astype(np.int32), "good": good[some], "raw": raw[some]})
+                n += np.bincount(features(hashed(part.column(0)))[0], minlength=BUCKETS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"cell": some.astype(np.int32), "n": n[some]})
+
+    return rows.select("text").mapInArrow(run, "cell int, n long")
+
+
+def counts(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features a cell over trusted and over all documents."""
+    words = bits_of(trusted)
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bits(words, batch.column(0).to_numpy(zero_copy_only=False))))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    total = rows.mapInArrow(run, "cell int, good long, raw long").groupBy("cell").agg(F.sum("good").alias("good"), F.sum("raw").alias("raw"))
+    chosen = rows.filter("id is not null").mapInArrow(some, "id long, text string").join(trusted, "id", "left_semi")
+    both = cell_counts(chosen).withColumn("trusted", F.lit(True)).unionAll(cell_counts(rows).withColumn("trusted", F.lit(False)))
     good, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in total.collect():  # BUCKETS rows at most
-        good[r["cell"]], raw[r["cell"]] = r["good"], r["raw"]
+    for r in both.groupBy("cell", "trusted").agg(F.sum("n").alias("n")).collect():  # 2 * BUCKETS rows at most
+        (good if r["trusted"] else raw)[r["cell"]] = r["n"]
     return good, raw
 
 
@@ -135,15 +144,15 @@ def duplicate_lines(text: bytes) -> int:
 SCHEMA = "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, llr double"
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", quality_col: str = "quality") -> DataFrame:
     """Base figures, mean log-likelihood ratio and verdict for each row of docs.
 
-    Null texts count as empty: no words, base_failed. Null ids stay null and are never trusted.
-    Without labels both multinomials are smoothing and the corpus alone, and the ratio's constant
-    part still ranks nothing: cells of rare features gain, so the threshold is kept as it is.
+    Null texts count as empty: no words, base_failed. Null ids stay null and are never trusted; ids
+    must be whole numbers. All rows of a trusted id count; an id labelled twice, once with 1, is
+    trusted. Without trusted features every ratio is 0, so only the base rules reject. An empty
+    table gives no rows. Other columns don't matter.
     """
-    trusted = trusted_ids(labels)
-    good, raw = counts(docs, trusted, id_col, text_col)
+    good, raw = counts(docs, trusted_ids(labels, label_id_col, quality_col), id_col, text_col)
     ratio = ratios(good, raw) if good.sum() else np.zeros(BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -289,6 +289,28 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judge(empty, labels).count() == 0 and quality_rules.judge(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_likelihood_ratios_equal_plain_counts(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(3, 1), (3, 0), (None, 1), (70_000, 1)], "doc_id long, quality int")
+    rows = rows_of(docs)
+
+    def cells(text):
+        names = [np.uint64(xxhash.xxh3_64_intdigest(w.encode())) for w in split(text)]
+        one = quality_rules.mix(np.array(names, np.uint64)).tolist()
+        two = quality_rules.join2(np.array(names[:-1], np.uint64), np.array(names[1:], np.uint64)).tolist()
+        return [x % quality_rules.BUCKETS for x in one + two]
+
+    good, raw = Counter(), Counter()
+    for i, t in rows:
+        raw.update(cells(t))
+        if i is not None and (i % 2 and i < 30):
+            good.update(cells(t))
+    p = {c: np.log((good[c] + 1) / (sum(good.values()) + quality_rules.BUCKETS)) - np.log((raw[c] + 1) / (sum(raw.values()) + quality_rules.BUCKETS)) for c in range(quality_rules.BUCKETS)}
+    want = Counter((i, round(sum(p[c] for c in cells(t)) / max(1, len(cells(t))), 4)) for i, t in rows)
+    got = quality_rules.judge(docs, labels).collect()
+    assert Counter((r["id"], round(r["llr"], 4)) for r in got) == want
+    assert all(r["kept"] == (not r["base_failed"] and r["llr"] >= quality_rules.THRESHOLD) for r in got) and len({r["kept"] for r in got if not r["base_failed"]}) == 2
+
+
 # ---------------------------------------------------------------- 7 SimHash
 
 
