@@ -4,9 +4,11 @@ A text's UTF-8 bytes are cut into chunks of `CHUNK` bytes, each `STEP` after the
 that chunks overlap and cover the whole document. Each byte has a learned embedding; `FILTERS`
 learned filters of `WIDTH` bytes run over each chunk every `STRIDE` bytes; each filter's largest
 and mean response over the chunk are pooled over all chunks (mean and largest), and one logistic
-unit combines them into the probability of label 1. Fitted by Adam on a bounded, hash-ordered
-sample of labelled rows (`FIT_ROWS`); of a long document in that sample, `FIT_CHUNKS` chunks
-spread evenly over all of it are used. Scoring takes every chunk of every document.
+unit combines them into the probability of label 1.
+
+Fitted by Adam on whole texts of a bounded sample of labelled rows: at most `FIT_ROWS` ids, those
+with the least hashes, and of these, in that order, each whose text still fits into `FIT_BYTES` in
+all. Scoring takes every chunk of every document.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from gridmill.llm.common import slices, texts
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE = 8, 4
 EMBED, FILTERS = 8, 24
-FIT_ROWS, FIT_CHUNKS = 4_000, 12
-EPOCHS, BATCH, RATE = 12, 64, 0.01
+FIT_ROWS, FIT_BYTES = 2_000, 8 << 20
+EPOCHS, BATCH, RATE = 6, 32, 0.01
+#: Chunks that one step of a kernel takes.
+BLOCK = 256
+PAD = 256
 SEED = 7
 
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
@@ -36,13 +41,30 @@ def n_chunks(size: int) -> int:
     return max(1, -(-(size - CHUNK) // STEP) + 1)
 
 
-def chunked(data: bytes, which: np.ndarray | None = None) -> np.ndarray:
-    """Chunks (rows of CHUNK byte values; 256 pads a short last one), all or some."""
+def chunked(data: bytes) -> np.ndarray:
+    """Chunks (rows of CHUNK byte values; PAD fills a short last one), as a view of two bytes a byte of text."""
     n = n_chunks(len(data))
-    full = np.full((n - 1) * STEP + CHUNK, 256, np.int64)
+    full = np.full((n - 1) * STEP + CHUNK, PAD, np.int16)
     full[: len(data)] = np.frombuffer(data, np.uint8)
-    view = np.lib.stride_tricks.as_strided(full, (n, CHUNK), (STEP * full.itemsize, full.itemsize))
-    return view.copy() if which is None else view[which]
+    return np.lib.stride_tricks.as_strided(full, (n, CHUNK), (STEP * full.itemsize, full.itemsize))
+
+
+def blocks(many: list[bytes]) -> Iterator[np.ndarray]:
+    """All chunks of some texts, one after another, BLOCK at a time."""
+    held, size = [], 0
+    for data in many:
+        view = chunked(data)
+        at = 0
+        while at < len(view):
+            part = view[at : at + BLOCK - size]
+            held.append(part)
+            size += len(part)
+            at += len(part)
+            if size == BLOCK:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 @dataclass
@@ -53,34 +75,31 @@ class Net:
     out: np.ndarray  # 4 * FILTERS
     shift: float
 
-    def unfold(self, chunks: np.ndarray) -> np.ndarray:
-        x = np.ascontiguousarray(self.embed[chunks])
+    def responses(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of embedded bytes (a row each), and each filter's response at each place of each chunk."""
+        x = self.embed[chunks]
         s = x.strides
-        return np.lib.stride_tricks.as_strided(x, (len(x), PLACES, WIDTH * EMBED), (s[0], STRIDE * s[1], s[2]))
-
-    def pooled(self, chunks: np.ndarray) -> np.ndarray:
-        """Each chunk's largest and mean response of each filter."""
-        out = np.empty((len(chunks), 2 * FILTERS), np.float32)
-        for lo in range(0, len(chunks), 256):
-            r = np.maximum(self.unfold(chunks[lo : lo + 256]).reshape(-1, WIDTH * EMBED) @ self.filters + self.bias, 0).reshape(-1, PLACES, FILTERS)
-            out[lo : lo + 256] = np.concatenate((r.max(1), r.mean(1)), 1)
-        return out
-
-    def score(self, data: bytes) -> float:
-        p = self.pooled(chunked(data))
-        z = float(np.concatenate((p.mean(0), p.max(0))) @ self.out + self.shift)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        windows = np.lib.stride_tricks.as_strided(x, (len(x), PLACES, WIDTH * EMBED), (s[0], STRIDE * s[1], s[2])).reshape(-1, WIDTH * EMBED)
+        r = windows @ self.filters
+        r += self.bias
+        return windows, np.maximum(r, 0, out=r).reshape(len(x), PLACES, FILTERS)
+
+    def pooled(self, many: list[bytes]) -> np.ndarray:
+        """Each chunk's largest and mean response of each filter, chunks of all texts one after another."""
+        out = [np.zeros((0, 2 * FILTERS), np.float32)]
+        for chunks in blocks(many):
+            r = self.responses(chunks)[1]
+            out.append(np.concatenate((r.max(1), r.mean(1)), 1))
+        return np.concatenate(out)
 
     def scores(self, many: list[bytes]) -> np.ndarray:
-        """As score, for many texts at once."""
-        parts = [chunked(d) for d in many]
-        p = self.pooled(np.concatenate(parts)) if parts else np.zeros((0, 2 * FILTERS), np.float32)
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in parts])))[:-1].astype(int)
-        if not len(parts):
+        """Probability of label 1 of each text, to six places."""
+        if not many:
             return np.zeros(0)
-        n = np.array([len(x) for x in parts])[:, None]
-        z = np.concatenate((np.add.reduceat(p.astype(np.float64), starts) / n, np.maximum.reduceat(p, starts)), 1) @ self.out.astype(np.float64) + self.shift
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        n = np.array([n_chunks(len(d)) for d in many])
+        p, starts = self.pooled(many), np.concatenate(([0], np.cumsum(n)))[:-1]
+        z = np.concatenate((np.add.reduceat(p.astype(np.float64), starts) / n[:, None], np.maximum.reduceat(p, starts)), 1) @ self.out.astype(np.float64) + self.shift
+        return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
 
 
 def fit(samples: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Net:
@@ -98,10 +117,6 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Net:
         net.out[:] = 0
         net.shift = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
         return net
-    parts = []
-    for data, _ in samples:
-        n = n_chunks(len(data))
-        parts.append(chunked(data, np.unique(np.linspace(0, n - 1, min(n, FIT_CHUNKS)).round().astype(int))).astype(np.int16))
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
     shift = np.zeros(1, np.float32)
     params = [net.embed, net.filters, net.bias, net.out, shift]
@@ -110,32 +125,7 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Net:
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
-            chunks = np.concatenate([parts[i] for i in at]).astype(np.int64)
-            n = np.array([len(parts[i]) for i in at])
-            doc = np.repeat(np.arange(len(at)), n)
-            starts = np.concatenate(([0], np.cumsum(n)))[:-1]
-            u = net.unfold(chunks).reshape(-1, WIDTH * EMBED)
-            r = np.maximum(u @ net.filters + net.bias, 0).reshape(len(chunks), PLACES, FILTERS)
-            top = r.argmax(1)
-            p = np.concatenate((np.take_along_axis(r, top[:, None], 1)[:, 0], r.mean(1)), 1)
-            mean, most = np.add.reduceat(p, starts) / n[:, None], np.maximum.reduceat(p, starts)
-            f = np.concatenate((mean, most), 1)
-            prob = 1 / (1 + np.exp(-np.clip(f @ net.out + shift[0], -30, 30)))
-            dz = (prob - y[at]) * weight[at] / len(at)
-            df = dz[:, None] * net.out
-            dp = df[doc, : 2 * FILTERS] / n[doc, None] + df[doc, 2 * FILTERS :] * (p == most[doc])
-            dr = np.repeat(dp[:, None, FILTERS:] / PLACES, PLACES, 1)
-            ci, fi = np.indices(top.shape)
-            dr[ci, top, fi] += dp[:, :FILTERS]
-            dr *= r > 0
-            g = dr.reshape(-1, FILTERS)
-            du = (g @ net.filters.T).reshape(len(chunks), PLACES, WIDTH, EMBED)
-            dx = np.zeros((len(chunks), CHUNK, EMBED), np.float32)
-            for k in range(WIDTH):
-                dx[:, k : k + STRIDE * PLACES : STRIDE][:, :PLACES] += du[:, :, k]
-            flat, code = dx.reshape(-1, EMBED), chunks.reshape(-1)
-            demb = np.stack([np.bincount(code, flat[:, e], 257) for e in range(EMBED)], 1).astype(np.float32)
-            grads = [demb, u.T @ g, g.sum(0), f.T @ dz + 1e-4 * net.out, np.array([dz.sum()], np.float32)]
+            grads = gradients(net, shift[0], [samples[i][0] for i in at], y[at], weight[at])
             t += 1
             rate = RATE * (1 - 0.9 * (epoch / epochs))
             for q, d, a, b in zip(params, grads, m, v):
@@ -146,46 +136,99 @@ def fit(samples: list[tuple[bytes, int]], epochs: int = EPOCHS) -> Net:
     return net
 
 
+def gradients(net: Net, shift: float, many: list[bytes], y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the embedding, filters, bias, unit and shift over some texts; responses to many chunks are made anew, block by block."""
+    n = np.array([n_chunks(len(d)) for d in many])
+    starts = np.concatenate(([0], np.cumsum(n)))[:-1]
+    doc = np.repeat(np.arange(len(many)), n)
+    held = None
+    if n.sum() <= BLOCK:  # the usual case: one block, whose responses are kept
+        held = net.responses(next(blocks(many)))
+        p = np.concatenate((held[1].max(1), held[1].mean(1)), 1)
+    else:
+        p = net.pooled(many)
+    mean, most = np.add.reduceat(p, starts) / n[:, None].astype(np.float32), np.maximum.reduceat(p, starts)
+    f = np.concatenate((mean, most), 1)
+    prob = 1 / (1 + np.exp(-np.clip(f @ net.out + shift, -30, 30)))
+    dz = ((prob - y) * weight / len(many)).astype(np.float32)
+    df = dz[:, None] * net.out
+    hit = p == most[doc]
+    times = np.cumsum(hit, 0)
+    hit &= times - (times[starts] - hit[starts])[doc] == 1  # of chunks with the same largest response the first one
+    dp = df[doc, : 2 * FILTERS] / n[doc, None].astype(np.float32) + df[doc, 2 * FILTERS :] * hit
+    demb, dfilters, dbias = np.zeros((PAD + 1, EMBED), np.float32), np.zeros_like(net.filters), np.zeros(FILTERS, np.float32)
+    lo = 0
+    for chunks in blocks(many):
+        k = len(chunks)
+        windows, r = held or net.responses(chunks)
+        g = np.repeat(dp[lo : lo + k, None, FILTERS:] / PLACES, PLACES, 1)
+        top = r.argmax(1)
+        g[np.arange(k)[:, None], top, np.arange(FILTERS)] += dp[lo : lo + k, :FILTERS]
+        g *= r > 0
+        flat = g.reshape(-1, FILTERS)
+        dfilters += windows.T @ flat
+        dbias += flat.sum(0)
+        du = (flat @ net.filters.T).reshape(k, PLACES, WIDTH, EMBED)
+        dx = np.zeros((k, CHUNK, EMBED), np.float32)
+        for w in range(WIDTH):
+            dx[:, w : w + STRIDE * PLACES : STRIDE] += du[:, :, w]
+        code = chunks.reshape(-1)
+        for e in range(EMBED):
+            demb[:, e] += np.bincount(code, dx[:, :, e].reshape(-1), PAD + 1)
+        lo += k
+    return [demb, dfilters, dbias, f.T @ dz + 1e-4 * net.out, np.array([dz.sum()], np.float32)]
+
+
 def is_held_out(key: int | None) -> bool:
     """Rows with this never teach: crc32 of the id as text leaves 1 modulo 3."""
     return key is not None and zlib.crc32(str(key).encode()) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, rows: int) -> list[tuple[bytes, int]]:
-    """At most `rows` labelled texts that may teach, those with the least hashes of their ids, in that order."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> list[tuple[bytes, int]]:
+    """Whole texts that may teach, with their labels: of `rows` ids with the least hashes those that fit into `size` bytes, in that order.
+
+    Only ids are sorted; the driver gets lengths of at most `rows` texts first, and then at most
+    `size` bytes. Of several texts with one id the least counts, of several labels the largest.
+    """
     mark = labels.filter(F.col(id_col).isNotNull() & F.col(quality_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("gm_id")).agg(F.max(quality_col).alias("gm_q"))
     mark = mark.filter(F.crc32(F.col("gm_id").cast("string").cast("binary")) % 3 != 1)
-    few = F.broadcast(mark.orderBy(F.xxhash64("gm_id"), "gm_id").limit(rows))  # `rows` pairs of numbers at most
-    chosen = docs.select(F.col(id_col).cast("long").alias("gm_id"), F.col(text_col).alias("gm_text")).join(few, "gm_id")
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "gm_text"):
-                out = []
-                for t in texts(part.column(1)):
-                    n = n_chunks(len(t))
-                    if n <= FIT_CHUNKS:
-                        out.append(t)
-                    else:  # evenly spread chunks, so that the driver gets a bounded sample
-                        out.append(b"".join(t[i * STEP : i * STEP + CHUNK] for i in np.unique(np.linspace(0, n - 1, FIT_CHUNKS).round().astype(int))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary()), part.column(2).cast(pa.int32())], ["id", "data", "q"])
-
-    got = chosen.select("gm_id", "gm_text", "gm_q").mapInArrow(thin, "id long, data binary, q int").dropDuplicates(["id"]).collect()
-    got.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
-    return [(bytes(r["data"]), r["q"]) for r in got]
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", rows: int = FIT_ROWS) -> Net:
-    return fit(sample(docs, labels, id_col, text_col, quality_col, rows))
+    texts_of = docs.select(F.col(id_col).cast("long").alias("gm_id"), F.coalesce(F.col(text_col), F.lit("")).alias("gm_text"))
+    few = mark.orderBy(F.xxhash64("gm_id"), "gm_id").limit(rows)  # `rows` pairs of numbers at most
+    once = texts_of.join(F.broadcast(few), "gm_id").groupBy("gm_id", "gm_q").agg(F.min("gm_text").alias("gm_text"))
+    lengths = once.select("gm_id", F.xxhash64("gm_id").alias("h"), F.octet_length("gm_text").alias("n")).collect()
+    chosen, used = [], 0
+    for r in sorted(lengths, key=lambda r: (r["h"], r["gm_id"])):
+        if used + r["n"] <= size:
+            chosen.append((r["gm_id"], len(chosen)))
+            used += r["n"]
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, "gm_id long, k int")
+    got = once.join(F.broadcast(wanted), "gm_id").select("k", F.col("gm_text").cast("binary").alias("data"), "gm_q").toArrow().sort_by("k")
+    return list(zip(got.column("data").to_pylist(), got.column("gm_q").to_pylist()))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Net:
+    """The network fitted on a bounded sample of labelled rows.
+
+    Null ids and labels other than 0 and 1 teach nothing; a null text counts as empty; rows repeated
+    with one id teach once. Without both labels the score is constant (0.5 without any). `id_col`
+    names the ids of both tables; other columns of either don't matter.
+    """
+    return fit(sample(docs, labels, id_col, text_col, quality_col, rows, size))
 
 
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, held_out, score, predicted for each row of docs. Null and empty texts get the score of one padded chunk."""
+    """id, held_out, score, predicted for each row of docs.
+
+    Null and empty texts get the score of one padded chunk. Null ids stay null and are not held out.
+    Repeated rows repeat their scores; an empty table gives none. At a score of 0.5 a row is predicted 1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                s = np.round(net.scores(texts(part.column(1))), 6)
+                s = net.scores(texts(part.column(1)))
                 held = [is_held_out(k) for k in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
@@ -194,7 +237,10 @@ def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep(docs: DataFrame, net: Net, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs that score `least` or more; columns as they were."""
+    """The rows of docs that score `least` or more, a tie included, by the same score as `score` gives; columns as they were.
+
+    Null texts count as empty, repeated rows stay or go together, an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

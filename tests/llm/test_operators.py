@@ -456,12 +456,60 @@ def test_classifier_learns_and_keeps_all_rows(spark, docs, empty):
 
 
 def test_chunks_cover_the_text_and_batches_agree():
-    data = bytes(np.random.default_rng(9).integers(0, 256, 3000, np.uint8))
+    rng = np.random.default_rng(9)
+    data = bytes(rng.integers(0, 256, 3000, np.uint8))
     got = quality_cnn.chunked(data)
     assert (got[:, : quality_cnn.STEP].reshape(-1)[: len(data)] == np.frombuffer(data, np.uint8)[: got[:, : quality_cnn.STEP].size]).all() and len(got) == quality_cnn.n_chunks(3000)
     net = quality_cnn.fit([(b"aaaa" * 50, 1), (b"####" * 50, 0)] * 8, epochs=2)
-    many = [data, b"", b"short", data[:600]]
-    assert np.allclose(net.scores(many), [net.score(d) for d in many], atol=1e-5)
+    many = [data, b"", b"short", bytes(rng.integers(0, 256, 300_000, np.uint8)), data[:600]]
+    assert np.allclose(net.scores(many), [net.scores([d])[0] for d in many], atol=1e-5)
+    for d, s in zip(many, net.scores(many)):  # the network written out plainly
+        pools = []
+        for c in quality_cnn.chunked(d):
+            r = np.array([net.embed[c[i : i + quality_cnn.WIDTH]].reshape(-1) @ net.filters + net.bias for i in range(0, quality_cnn.CHUNK - quality_cnn.WIDTH + 1, quality_cnn.STRIDE)]).clip(0)
+            pools.append(np.concatenate((r.max(0), r.mean(0))))
+        z = np.concatenate((np.mean(pools, 0), np.max(pools, 0))) @ net.out + net.shift
+        assert abs(1 / (1 + np.exp(-z)) - s) < 1e-4
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(10)
+    net = quality_cnn.fit([(b"abcd" * 60, 1), (b"x#y#" * 60, 0)] * 4, epochs=1)
+    for name in ("embed", "filters", "bias", "out"):
+        setattr(net, name, getattr(net, name).astype(np.float64))
+    many, y, w = [bytes(rng.integers(97, 100, n, np.uint8)) for n in (900, 40, 1500)], np.array([1.0, 0.0, 1.0]), np.array([1.0, 1.5, 0.5])
+
+    def loss():
+        n = [quality_cnn.n_chunks(len(d)) for d in many]
+        p, at = net.pooled(many), np.concatenate(([0], np.cumsum(n)))[:-1]
+        z = np.concatenate((np.add.reduceat(p, at) / np.array(n)[:, None], np.maximum.reduceat(p, at)), 1) @ net.out + 0.1
+        return float((w * (np.log1p(np.exp(z)) - y * z)).sum() / 3 + 0.5e-4 * (net.out**2).sum())
+
+    grads = quality_cnn.gradients(net, 0.1, many, y, w)
+    for name, g, places in (("embed", grads[0], [(97, 0), (98, 3), (256, 1)]), ("filters", grads[1], [(0, 0), (17, 5), (63, 20)]), ("bias", grads[2], [(0,), (7,)]), ("out", grads[3], [(3,), (60,)])):
+        value = getattr(net, name)
+        for at in places:
+            old, step = value[at], 1e-5
+            value[at] = old + step
+            up = loss()
+            value[at] = old - step
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-4 + 0.02 * abs(g[at]), (name, at)
+
+
+def test_the_fit_takes_whole_texts_of_a_bounded_sample(spark):
+    rows = [(i, "long " * 400 if i == 3 else f"text {i}") for i in range(40)] + [(5, "another"), (None, "x"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(5, 0), (7, None), (None, 1)], "doc_id long, quality int")
+    all_ = quality_cnn.sample(docs, labels, "doc_id", "text", "quality")
+    teach = [i for i in range(40) if not quality_cnn.is_held_out(i)]
+    least = {i: min((t or "") for k, t in rows if k == i) for i in teach}
+    assert Counter(all_) == Counter((least[i].encode(), i % 2) for i in teach)
+    assert quality_cnn.sample(docs.repartition(5), labels, "doc_id", "text", "quality") == all_
+    few = quality_cnn.sample(docs, labels, "doc_id", "text", "quality", size=120)
+    assert sum(len(t) for t, _ in few) <= 120 and few == [x for x in all_ if x in few] and len(few) > 5
+    assert quality_cnn.sample(docs.limit(0), labels, "doc_id", "text", "quality") == []
 
 
 # ---------------------------------------------------------------- 10 licences
