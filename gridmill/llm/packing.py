@@ -25,6 +25,8 @@ from gridmill.llm.tokens import encoder
 WINDOW = 1024
 PIECE = 256
 BATCH_WINDOWS = 128
+#: Pieces of a batch at most, as differencing takes pieces times windows of memory.
+BATCH_PIECES = 8192
 SLICE = 4 << 20
 
 SCHEMA = "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -90,7 +92,7 @@ class Packer:
             cuts = [whole + rest * i // parts for i in range(parts + 1)]
             self.open += [(key, a, b - a, ids[4 * a : 4 * b], n) for a, b in zip(cuts, cuts[1:])]
             self.held += rest
-            if self.held >= self.batch * self.window:
+            if self.held >= self.batch * self.window or len(self.open) >= BATCH_PIECES:
                 self.flush()
 
     def flush(self) -> None:
@@ -113,8 +115,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, window: int = WINDOW,
     """Pieces of all documents with their place: id, start, length, ids, doc_tokens, sequence_id, offset.
 
     `ids` holds little-endian unsigned 32-bit token ids; each document ends with `end_id`. A null or
-    empty text is that id alone. Null ids stay null; repeated rows are packed as often as they
-    occur; an empty table gives no pieces. Sequence ids are unique, not consecutive.
+    empty text is that id alone. Null ids stay null, others must be whole numbers; repeated rows are
+    packed as often as they occur; an empty table gives no pieces; other columns don't matter.
+    Differencing breaks ties by the order of pieces. Sequence ids are unique, not consecutive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,10 @@
 
 A file holds, in this order:
 
-* data frames, each an independent zstandard frame with content checksum: the ids of some whole
-  documents as little-endian unsigned 32-bit integers;
+* data frames, each an independent zstandard frame with content checksum: token ids as little-endian
+  unsigned 32-bit integers, of some whole documents, or a part of one that is longer than a frame;
 * a skippable frame (magic 0x184D2A50) with the document table: for each document its id, a flag
-  for a null id, its number of tokens and its data frame;
+  for a null id, and its number of tokens;
 * a skippable frame (magic 0x184D2A5E) with the seek table of the public zstandard seekable
   format: for each data frame its compressed size, its size and the low 32 bits of its XXH64.
 
@@ -36,7 +36,7 @@ SEEK_MAGIC, TABLE_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F9
 
 FRAME_TOKENS = 65_536
 LEVEL = 3
-DOC = np.dtype([("id", "<i8"), ("tokens", "<i8"), ("frame", "<u4"), ("null", "u1")])
+DOC = np.dtype([("id", "<i8"), ("tokens", "<i8"), ("null", "u1")])
 FRAME = np.dtype([("packed", "<u4"), ("size", "<u4"), ("sum", "<u4")])
 
 
@@ -53,15 +53,19 @@ class Writer:
         self.open: list[bytes] = []
         self.size = self.tokens = 0
         self.frames: list[tuple[int, int, int]] = []
-        self.docs: list[tuple[int, int, int, int]] = []
+        self.docs: list[tuple[int, int, int]] = []
 
     def add(self, key: int | None, ids: bytes) -> None:
-        if self.open and self.size + len(ids) > self.limit:
+        if self.size and self.size + len(ids) > self.limit:
             self._flush()
-        self.docs.append((key or 0, len(ids) // 4, len(self.frames), key is None))
-        self.open.append(ids)
-        self.size += len(ids)
+        self.docs.append((key or 0, len(ids) // 4, key is None))
         self.tokens += len(ids) // 4
+        for at in range(0, len(ids), self.limit):  # a longer document takes several frames
+            part = ids[at : at + self.limit]
+            self.open.append(part)
+            self.size += len(part)
+            if self.size >= self.limit:
+                self._flush()
 
     def _flush(self) -> None:
         data = b"".join(self.open)
@@ -113,40 +117,50 @@ class Reader:
 
     def rows(self, wanted: set[int] | None = None) -> Iterator[tuple[int | None, int, int, bytes]]:
         """(id, ids before it in the file, number of ids, ids); with `wanted` only the frames with those ids are read."""
-        start = np.concatenate(([0], np.cumsum(self.docs["tokens"])))
-        first = {}
-        for i, f in enumerate(self.docs["frame"].tolist()):
-            first.setdefault(f, i)
+        end = 4 * np.cumsum(self.docs["tokens"])
+        edge = np.concatenate(([0], np.cumsum(self.frames["size"].astype(np.int64))))
+        first = np.searchsorted(edge, end - 4 * self.docs["tokens"], side="right") - 1
         held, data = -1, b""
-        for i, d in enumerate(self.docs):
+        for d, stop, f in zip(self.docs, end.tolist(), first.tolist()):
             if wanted is not None and (d["null"] or int(d["id"]) not in wanted):
                 continue
-            f = int(d["frame"])
-            if f != held:
-                held, data = f, self.frame(f)
-            a = 4 * int(start[i] - start[first[f]])
-            yield (None if d["null"] else int(d["id"]), int(start[i]), int(d["tokens"]), data[a : a + 4 * int(d["tokens"])])
+            n, parts = int(d["tokens"]), []
+            start = at = stop - 4 * n
+            while at < stop:
+                if f != held:
+                    held, data = f, self.frame(f)
+                parts.append(data[at - int(edge[f]) : stop - int(edge[f])])
+                at = int(edge[f + 1])
+                f += 1
+            yield (None if d["null"] else int(d["id"]), start // 4, n, b"".join(parts))
 
 
 @dataclass(frozen=True)
 class Shard:
-    """One file, and the number of ids in all files before it."""
+    """One file, the number of ids in all files before it, and the least and greatest document id in it (null: none)."""
 
     shard: int
     path: str
     docs: int
     tokens: int
     start: int
+    low: int | None
+    high: int | None
+
+
+MANIFEST = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> list[Shard]:
     """Encodes every text, ends it with end_id and writes files below `path` in ascending order of id.
 
     Texts are dealt by range of (id, hash of the text), so rows repeated with one id spread out and
-    the order is total up to equal rows; null ids come first, null texts count as empty. Each task
-    writes one file under a name of its own attempt and renames it when complete, so lost executors
-    and repeated tasks leave the same files. An empty table writes none. Returns the manifest, a row
-    for each file.
+    the order is total up to equal rows; null ids come first, null texts count as empty. Rows equal
+    in id and text can't be told apart and share a file: how often a row is repeated is the one thing
+    that makes a file longer than its share. Each task writes one file under a name of its own attempt
+    and renames it when complete, so lost executors and repeated tasks leave the same files; what
+    failed attempts left is deleted at the end. An empty table writes none. Ids must be whole
+    numbers; other columns don't matter. Returns the manifest, a row for each file.
     """
     size = text_bytes(docs, text_col)
     shards = max(6, size // min(max(16 << 20, size // 2000), 256 << 20))
@@ -159,29 +173,46 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id_col: s
         store.create_dir(root, recursive=True)
         final, temp = f"{root}/part-{task.partitionId():06d}.zst", f"{root}/.part-{task.partitionId():06d}-{task.taskAttemptId()}"
         writer = None
-        with store.open_output_stream(temp) as out:
-            writer = Writer(out)
-            for batch in batches:
-                for part in slices(batch, "text"):
-                    ids, at = enc.encode_column(part.column(1))
-                    for key, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
-                        writer.add(key, ids[a:b].tobytes() + end)
-            writer.close()
-        store.move(temp, final)
-        yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [final], "docs": [len(writer.docs)], "tokens": [writer.tokens]})
-
-    done = rows.mapInArrow(run, "shard long, path string, docs long, tokens long").collect()  # a row for each file
+        try:
+            with store.open_output_stream(temp) as out:
+                writer = Writer(out)
+                for batch in batches:
+                    for part in slices(batch, "text"):
+                        ids, at = enc.encode_column(part.column(1))
+                        for key, a, b in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                            writer.add(key, ids[a:b].tobytes() + end)
+                writer.close()
+            if store.get_file_info(final).type == fs.FileType.File:  # of an attempt whose result was lost
+                store.delete_file(final)
+            store.move(temp, final)
+        except BaseException:
+            if store.get_file_info(temp).type == fs.FileType.File:
+                store.delete_file(temp)
+            raise
+        keys = [k for k, _, none in writer.docs if not none]
+        yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": final, "docs": len(writer.docs), "tokens": writer.tokens, "low": min(keys, default=None), "high": max(keys, default=None)}], MANIFEST)
+
+    done = rows.mapInArrow(run, "shard long, path string, docs long, tokens long, low long, high long").collect()  # a row for each file
+    store, root = fs.FileSystem.from_uri(path)
+    for info in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if info.base_name.startswith(".part-"):  # an executor was lost while it wrote
+            store.delete_file(info.path)
     out, before = [], 0
     for r in sorted(done, key=lambda r: r["shard"]):
         if r["docs"]:
-            out.append(Shard(r["shard"], r["path"], r["docs"], r["tokens"], before))
+            out.append(Shard(r["shard"], r["path"], r["docs"], r["tokens"], before, r["low"], r["high"]))
             before += r["tokens"]
     return out
 
 
 def read(spark: SparkSession, path: str, manifest: Iterable[Shard], wanted: set[int] | None = None) -> DataFrame:
-    """id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files."""
-    files = [(s.path, s.start) for s in manifest]
+    """id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files.
+
+    With `wanted` only documents with those ids, from the files whose range of ids holds any and the
+    frames that hold them.
+    """
+    few = np.array(sorted(wanted or ()), np.int64)
+    files = [(s.path, s.start) for s in manifest if wanted is None or (s.low is not None and np.searchsorted(few, s.low) < np.searchsorted(few, s.high, side="right"))]
     schema = "id long, start long, n_tokens long, ids binary"
     if not files:
         return spark.createDataFrame([], schema)

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on a corpus with every odd case."""
 
+import os
 import random
 import re
 import zlib
@@ -121,6 +122,12 @@ def test_differencing_packs_tight():
     sums = np.bincount(place, sizes, bins)
     assert sums.max() <= 1024 and bins <= 1.01 * sizes.sum() / 1024 + 1
     assert packing.windows(np.array([1024, 1024, 600, 600]), 1024)[1] == 4  # the count rises
+    packer = packing.Packer(0)
+    for i in range(20_000):  # documents of one token
+        packer.add(i, b"\0\0\0\0")
+        assert len(packer.open) < packing.BATCH_PIECES
+    packer.flush()
+    assert len(packer.rows) == 20_000 and packer.base <= 21
 
 
 # ---------------------------------------------------------------- 2 personal data
@@ -413,6 +420,8 @@ def test_token_files(spark, docs, empty):
     ids = [r["id"] for r in got]
     assert ids == sorted(ids, key=lambda i: (i is not None, i))
     assert {r["id"] for r in token_output.read(spark, path, manifest, {3, 9}).collect()} == {3, 9}
+    assert token_output.read(spark, path, manifest, {10_000}).count() == token_output.read(spark, path, manifest, set()).count() == 0
+    assert not [x for x in os.listdir(path.removeprefix("file://")) if not x.startswith("part-") and not x.endswith(".crc")]
     assert token_output.read(spark, path, token_output.write(empty, fresh_path(spark, "t"), WORD)).count() == 0
 
 
@@ -427,7 +436,9 @@ def test_frames_are_independent_and_checked(tmp_path):
     data = (tmp_path / "f").read_bytes()
     with open(tmp_path / "f", "rb") as f:
         r = token_output.Reader(f)
-        assert len(r.frames) > 5 and [x[2] for x in r.rows()] == list(range(30))
+        assert len(r.frames) > 5 and [x[2] for x in r.rows()] == list(range(30)) and r.frames["size"].max() <= 40
+        assert [np.frombuffer(x[3], "<u4").tolist() for x in r.rows()] == [list(range(i)) for i in range(30)]
+        assert [(x[0], x[1], len(x[3])) for x in r.rows({25, 3})] == [(3, 3, 12), (25, 300, 100)]
     whole = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
     assert whole == b"".join(np.arange(i, dtype="<u4").tobytes() for i in range(30))
     for at in (20, len(data) // 2):
