@@ -88,28 +88,46 @@ def _exact_sum(value: Column) -> Column:
     return F.sum(value.cast("decimal(28,4)")).cast("double")
 
 
+def _or_skip(verdicts: DataFrame, key: Sequence[str], name: str, none: str) -> DataFrame:
+    """Checks of each table's (pass, fail, warn) structs in arrays `found`; one skip for a table without any."""
+    kind = "array<struct<status:string,detail:string,row:string,column:string>>"
+    listed = verdicts.groupBy(*key).agg(F.flatten(F.collect_list("found")).alias("found"), F.bool_or("comparable").alias("comparable"))
+    detail = F.when(F.col("comparable"), F.lit(f"the {none} has no numbers to compare")).otherwise(f"no {none} to compare")
+    skip = F.array(F.struct(F.lit("skip").alias("status"), detail.alias("detail"), F.lit("").alias("row"), F.lit("").alias("column"))).cast(kind)
+    return listed.select(*key, F.lit(name).alias("name"), F.inline(F.when(F.size("found") > 0, F.col("found").cast(kind)).otherwise(skip)))
+
+
 def column_total_check(cells: DataFrame, key: Sequence[str] = KEY, options: Options = DEFAULT) -> DataFrame:
-    """Each total row against the sum of the rows that are no totals; skipped without one or below three rows."""
-    marked = cells.withColumn("is_total", F.col("row_label").rlike(total_word(options)))
-    part = F.when(~F.col("is_total"), F.col("value"))
-    sums = marked.groupBy(*key, "c").agg(_exact_sum(part).alias("parts"), F.count(part).alias("n_parts"), F.countDistinct("r").alias("n_rows"), F.collect_list(F.when(F.col("is_total"), F.struct("r", "row_label", "col_name", "value"))).alias("totals"))
-    size = marked.groupBy(*key).agg(F.countDistinct("r").alias("n_rows"), F.bool_or("is_total").alias("any"))
-    skipped = _check(size.filter("not any or n_rows < 3"), key, "column_total", "skip", F.lit("no total row to compare"))
-    rows = sums.filter("n_rows >= 3 and n_parts >= 2 and parts <> 0").select(*key, "parts", F.inline("totals")).filter("value is not null")
-    done = _check(rows, key, "column_total", _sum_status(F.col("value"), F.col("parts"), F.col("row_label"), F.col("col_name"), options), _sum_detail(F.col("value"), F.col("parts")), F.col("row_label"), F.col("col_name"))
-    return skipped.unionByName(done)
+    """Each total row against the sum of the rows that are no totals; skipped without one, below three rows, or where nothing can be compared."""
+    total = F.col("row_label").rlike(total_word(options))
+    return _total_check(cells, key, "column_total", total, "c", "total row", options)
 
 
 def row_total_check(cells: DataFrame, key: Sequence[str] = KEY, options: Options = DEFAULT) -> DataFrame:
-    """Each row's total columns against the sum of its other columns; skipped without one or below three columns."""
-    marked = cells.withColumn("is_total", F.col("col_name").rlike(total_word(options)))
+    """Each row's total columns against the sum of its other columns; skipped without one, below three columns, or where nothing can be compared."""
+    total = F.col("col_name").rlike(total_word(options))
+    return _total_check(cells, key, "row_total", total, "r", "total column", options)
+
+
+def _total_check(cells: DataFrame, key: Sequence[str], name: str, total: Column, line: str, none: str, options: Options) -> DataFrame:
+    """Totals against parts along each line (a column or a row): one aggregation by line, one by table.
+
+    A column's parts must not sum to nothing; a row's may.
+    """
+    marked = cells.withColumn("is_total", total)
     part = F.when(~F.col("is_total"), F.col("value"))
-    sums = marked.groupBy(*key, "r").agg(_exact_sum(part).alias("parts"), F.count(part).alias("n_parts"), F.count("*").alias("n_cols"), F.collect_list(F.when(F.col("is_total"), F.struct("row_label", "col_name", "value"))).alias("totals"))
-    size = marked.groupBy(*key).agg(F.countDistinct("c").alias("n_cols"), F.bool_or("is_total").alias("any"))
-    skipped = _check(size.filter("not any or n_cols < 3"), key, "row_total", "skip", F.lit("no total column to compare"))
-    rows = sums.filter("n_cols >= 3 and n_parts >= 2").select(*key, "parts", F.inline("totals")).filter("value is not null")
-    done = _check(rows, key, "row_total", _sum_status(F.col("value"), F.col("parts"), F.col("row_label"), F.col("col_name"), options), _sum_detail(F.col("value"), F.col("parts")), F.col("row_label"), F.col("col_name"))
-    return skipped.unionByName(done)
+    totals = F.collect_list(F.when(F.col("is_total"), F.struct("row_label", "col_name", "value")))
+    lines = marked.groupBy(*key, line).agg(_exact_sum(part).alias("parts"), F.count(part).alias("n_parts"), F.count("*").alias("n"), totals.alias("totals"))
+    summed = (F.col("n") >= 3) & (F.col("n_parts") >= 2)
+    if line == "c":
+        summed = summed & (F.col("parts") != 0)
+    parts = F.col("parts")
+
+    def verdict(t: Column) -> Column:
+        return F.struct(_sum_status(t["value"], parts, t["row_label"], t["col_name"], options).alias("status"), _sum_detail(t["value"], parts).alias("detail"), t["row_label"].alias("row"), t["col_name"].alias("column"))
+
+    found = F.when(summed, F.transform(F.filter("totals", lambda t: t["value"].isNotNull()), verdict)).otherwise(F.array().cast("array<struct<status:string,detail:string,row:string,column:string>>"))
+    return _or_skip(lines.select(*key, found.alias("found"), ((F.size("totals") > 0) & (F.col("n") >= 3)).alias("comparable")), key, name, none)
 
 
 def _first(pattern: str, name: str, at: str) -> Column:
@@ -120,8 +138,9 @@ def _first(pattern: str, name: str, at: str) -> Column:
 def product_check(cells: DataFrame, key: Sequence[str] = KEY, options: Options = DEFAULT) -> DataFrame:
     """Production in tonnes against area in hectares by yield in kilograms a hectare.
 
-    The three stand in columns of a row, or in rows below one outer label; nothing is said of a table
-    without all three.
+    The three stand in columns of a row, or, in a table that lacks any of the three columns, in rows
+    below one outer label; nothing is said of a table without all three. Only cells whose column, or
+    row, is one of the three are aggregated.
     """
 
     def triples(rows: DataFrame, by: Sequence[str], name: str, at: str, other: str) -> DataFrame:
@@ -134,12 +153,13 @@ def product_check(cells: DataFrame, key: Sequence[str] = KEY, options: Options =
         detail = F.concat(F.lit("production "), F.format_number("p.value", 0), F.lit(" vs area x yield "), F.format_number("expected", 0), F.lit(" ("), _share(F.col("gap")), F.lit(")"))
         return _check(rows, key, "area_x_yield", F.when(ok, "pass").otherwise("fail"), detail, row, column)
 
-    shape = cells.groupBy(*key).agg(F.bool_or(F.col("col_name").rlike(AREA)).alias("x"), F.bool_or(F.col("col_name").rlike(YIELD)).alias("y"), F.bool_or(F.col("col_name").rlike(PRODUCTION)).alias("z")).select(*key, (F.col("x") & F.col("y") & F.col("z")).alias("in_columns"))
-    both = cells.join(shape, list(key))
-    across = verdict(triples(both.filter("in_columns"), ["r", "row_label"], "col_name", "c", "row_label"), F.col("row_label"), F.col("p.name"))
-    nested = both.filter("not in_columns").withColumn("outer", F.when(F.col("row_label").contains(X.JOIN), F.substring_index("row_label", X.JOIN, 1)).otherwise(""))
-    down = verdict(triples(nested, ["outer", "c", "col_name"], "row_label", "r", "col_name"), F.col("p.name"), F.col("col_name"))
-    return across.unionByName(down)
+    kinds = [F.col("col_name").rlike(p) for p in (AREA, YIELD, PRODUCTION)]
+    in_columns = cells.filter(kinds[0] | kinds[1] | kinds[2]).groupBy(*key).agg(*[F.bool_or(k).alias(n) for k, n in zip(kinds, "xyz")]).filter("x and y and z").select(*key)
+    across = verdict(triples(cells.filter(kinds[0] | kinds[1] | kinds[2]), ["r", "row_label"], "col_name", "c", "row_label"), F.col("row_label"), F.col("p.name"))
+    outer = F.when(F.col("row_label").contains(X.JOIN), F.substring_index("row_label", X.JOIN, 1)).otherwise("")
+    nested = cells.filter(F.col("row_label").rlike(AREA) | F.col("row_label").rlike(YIELD) | F.col("row_label").rlike(PRODUCTION)).withColumn("outer", outer)
+    below = triples(nested, ["outer", "c", "col_name"], "row_label", "r", "col_name").join(in_columns, list(key), "left_anti")
+    return across.unionByName(verdict(below, F.col("p.name"), F.col("col_name")))
 
 
 def year_jump_check(cells: DataFrame, key: Sequence[str] = KEY, options: Options = DEFAULT) -> DataFrame:

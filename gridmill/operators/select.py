@@ -1,11 +1,10 @@
-"""Gate, routing, choice between readings, donor tables and row repair."""
+"""Gate, routing, choice between readings, and donor tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +16,16 @@ PAGE = ("doc", "page")
 
 
 def body_stats(cells: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """Rows, columns (the label column counts) and shares of cell statuses of each table, from tall cells."""
-    n = F.greatest(F.count("*"), F.lit(1))
-    share = {s: F.count_if(F.col("status") == s) / n for s in ("ok", "missing", "error")}
-    return cells.groupBy(*key).agg(F.countDistinct("r").alias("rows"), (F.countDistinct("c") + 1).alias("cols"), share["ok"].alias("numeric_share"), share["missing"].alias("missing_share"), share["error"].alias("unreadable_share"))
+    """Rows, columns (the label column counts) and shares of cell statuses of each table, from tall cells.
+
+    Cells are summed up by row before tables are, so that distinct rows are counted without sending
+    a cell twice; columns are the union of the rows' few different sets of columns.
+    """
+    statuses = ("ok", "missing", "error")
+    by_row = cells.groupBy(*key, "r").agg(F.count("*").alias("n"), *[F.count_if(F.col("status") == s).alias(s) for s in statuses], F.array_sort(F.collect_set("c")).alias("columns"))
+    total = by_row.groupBy(*key).agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in statuses], F.collect_set("columns").alias("sets"))
+    share = {s: F.col(s) / F.greatest("n", F.lit(1)) for s in statuses}
+    return total.select(*key, "rows", (F.size(F.array_distinct(F.flatten("sets"))) + 1).cast("long").alias("cols"), share["ok"].alias("numeric_share"), share["missing"].alias("missing_share"), share["error"].alias("unreadable_share"))
 
 
 def gate(stats: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -87,71 +92,6 @@ def donors(cells: DataFrame, winner: DataFrame, page: Sequence[str] = PAGE) -> D
     return best.select(*page, "stage", "table_no", F.col("d.donor_stage").alias("donor_stage"), F.col("d.donor_table").alias("donor_table"), (-F.col("d.n")).alias("n_agree"))
 
 
-# ---------------------------------------------------------------- row repair
-
-
-def failures(names: list[str], labels: list[str], body: list[list[str]], options: Options = DEFAULT) -> int:
-    """Number of failed checks of one small table, as run_checks counts them; for the repair kernel."""
-    from gridmill.functions.kernel import parse
-    from gridmill.operators import kernel_checks
-
-    return kernel_checks.count_failures(names, labels, [[parse(c) for c in r] for r in body], options)
-
-
-def repair_table(names: list[str], labels: list[str], body: list[list[str]], stage: str, given: list[dict], options: Options = DEFAULT) -> tuple[list[str], list[list[str]], list[str]]:
-    """Labels, body and the stage each row came from, after a donor's rows were tried in order.
-
-    A donor's row is taken if it reads cleanly, agrees with every number the row already has, and
-    lowers the count of failed checks; for a readable row it must fill a gap, and the count may stay.
-    """
-    from gridmill.functions.kernel import parse
-
-    labels, body = list(labels), [list(r) for r in body]
-    sources, best = [stage] * len(labels), failures(names, labels, body, options)
-    if not given or best == 0:
-        return labels, body, sources
-    for i, label in enumerate(list(labels)):
-        now = [parse(c) for c in body[i]]
-        unreadable = any(s == "error" for _, s in now)
-        for donor in given:
-            if list(donor["names"]) != list(names) or label not in donor["labels"]:
-                continue
-            row = list(donor["body"][list(donor["labels"]).index(label)])
-            new = [parse(c) for c in row]
-            if any(s == "error" for _, s in new) or any(a[1] == b[1] == "ok" and a[0] != b[0] for a, b in zip(now, new)):
-                continue
-            if not unreadable and not any(a[1] == "missing" and b[1] == "ok" for a, b in zip(now, new)):
-                continue
-            trial = [*body[:i], row, *body[i + 1 :]]
-            count = failures(names, labels, trial, options)
-            if count < best or (not unreadable and count == best):
-                body, best, sources[i] = trial, count, donor["stage"]
-                break
-    return labels, body, sources
-
-
-def repair(framed: DataFrame, given: DataFrame, key: Sequence[str] = KEY, options: Options = DEFAULT) -> DataFrame:
-    """framed tables with donors' rows swapped in, and sources (the stage of each row).
-
-    `given` has the key of the table to repair and donors: array<struct<stage, names, labels, body>>,
-    in order. A table is one row, so the kernel sees single tables, batch by batch, and nothing is
-    grouped.
-    """
-    both = framed.join(given.select(*key, "donors"), list(key), "left")
-    schema = "struct<labels:array<string>,body:array<array<string>>,sources:array<string>>"
-
-    @F.pandas_udf(schema)
-    def kernel(names: pd.Series, labels: pd.Series, body: pd.Series, stage: pd.Series, donors: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, lb, b, s, d in zip(names, labels, body, stage, donors):
-            listed = [] if d is None else [{"stage": x["stage"], "names": list(x["names"]), "labels": list(x["labels"]), "body": [list(r) for r in x["body"]]} for x in d]
-            out.append(repair_table(list(n), list(lb), [list(r) for r in b], s, listed, options))
-        return pd.DataFrame(out, columns=["labels", "body", "sources"])
-
-    done = both.withColumn("fixed", kernel("names", "labels", "body", "stage", "donors"))
-    return done.withColumn("labels", F.col("fixed.labels")).withColumn("body", F.col("fixed.body")).withColumn("sources", F.col("fixed.sources")).drop("fixed", "donors")
-
-
 def provenance(rows: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """resolved_by for each page: the winner, then other stages that gave rows, sorted, joined by +; rows(page…, winner, source)."""
     return rows.groupBy(*page).agg(F.min("winner").alias("winner"), F.array_sort(F.collect_set("source")).alias("s")).select(

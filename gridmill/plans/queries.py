@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import numbers as N
 from gridmill.functions import text as X
-from gridmill.operators import audit, checks, coding, select, summary, tables
+from gridmill.operators import audit, checks, coding, repair, select, summary, tables
 from gridmill.options import DEFAULT
 from gridmill.plans import inputs as I
 from gridmill.plans.observations import observe
@@ -41,19 +41,16 @@ def query(sql: str | None = None):
 SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN l_linenumber = 3 THEN -l_extendedprice ELSE l_extendedprice END AS value, 'ok' AS status FROM lineitem
 """)
 def parse_french_numbers(spark, d):
-    v = F.format_number("l_extendedprice", 2)
-    styles = {
-        1: F.translate(v, ",.", " ,"),
-        2: F.translate(v, ",.", " ,"),
-        3: F.concat(F.lit("("), F.translate(v, ",.", " ,"), F.lit(")")),
-        4: F.concat(F.translate(v, ",.", " ,"), F.lit("*")),
-        5: F.concat(F.translate(v, ",.", " ,"), F.lit(" %")),
-        6: F.translate(v, ",.", ".,"),
-    }
-    printed = F.translate(F.translate(v, ",", ""), ".", ",")
-    for k, s in styles.items():
-        printed = F.when(F.col("l_linenumber") == k, s).otherwise(printed)
-    return I.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), N.value(printed).alias("value"), N.status(printed).alias("status"))
+    def styled(v):
+        french = F.translate(v, ",.", " ,")
+        styles = {1: french, 2: french, 3: F.concat(F.lit("("), french, F.lit(")")), 4: F.concat(french, F.lit("*")), 5: F.concat(french, F.lit(" %")), 6: F.translate(v, ",.", ".,")}
+        out = F.translate(v, ".,", ",")
+        for k, s in styles.items():
+            out = F.when(F.col("l_linenumber") == k, s).otherwise(out)
+        return out
+
+    printed = N.bind(F.format_number("l_extendedprice", 2), styled)
+    return I.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), N.parsed(printed).alias("p")).select("l_orderkey", "l_linenumber", "p.value", "p.status")
 
 
 @query("""
@@ -67,7 +64,7 @@ def classify_cells(spark, d):
     raw = plain
     for n, text in junk.items():
         raw = F.when(k == n, text).otherwise(raw)
-    cells = I.table(spark, d, "orders").select(N.status(raw).alias("status"), N.value(raw).alias("value"))
+    cells = I.table(spark, d, "orders").select(N.parsed(raw).alias("p")).select("p.status", "p.value")
     return cells.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias("total"))
 
 
@@ -462,11 +459,11 @@ def donor_match(spark, d):
 @query(_CROSS + "SELECT CAST(page AS BIGINT) AS page, CASE WHEN page % 5 = 0 THEN 'ml' ELSE 'text' END AS total_source, CAST(round(ct.v, 2) AS DOUBLE) AS total_1995 FROM ct WHERE y = 1995")
 def repair_rows(spark, d):
     """In every fifth nation the total of the first year is unreadable; the second reading has it."""
-    good = tables.frames(I.order_grids(spark, d, planted=False))
+    good = cut(tables.frames(I.order_grids(spark, d, planted=False)), "frames")
     hurt = F.when(F.col("page") % 5 == 0, F.transform("body", lambda r, i: F.when(i == F.size("body") - 1, F.concat(F.array(F.lit("12 3 4")), F.slice(r, 2, 100))).otherwise(r))).otherwise(F.col("body"))
     bad = good.withColumn("body", hurt)
     donors = good.select(*tables.KEY, F.array(F.struct(F.lit("ml").alias("stage"), "names", "labels", "body")).alias("donors"))
-    fixed = select.repair(bad, donors, options=WIDE)
+    fixed = repair.repair(bad, donors, options=WIDE)
     return fixed.select(F.col("page").cast("long").alias("page"), F.element_at("sources", -1).alias("total_source"), N.value(F.element_at("body", -1)[0]).alias("total_1995"))
 
 

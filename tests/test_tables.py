@@ -1,8 +1,10 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridmill.functions import text as X
-from gridmill.operators import checks, coding, kernel_checks, select, tables
-from gridmill.functions.kernel import parse
+from gridmill.operators import checks, coding, repair, select, tables
 from gridmill.functions.similarity import partial_ratio, ratio, weighted_ratio
 from gridmill.options import DEFAULT
 from gridmill.plans.observations import observe
@@ -52,11 +54,45 @@ def test_clean_table_passes_and_one_cell_fails(spark):
     assert fails(spark, changed(1, 1, "12 3 4")) == [("column_total", "Niger", "Superficie (ha)") for _ in ()] + [("unreadable", "Agadez", "Superficie (ha)")]
 
 
-def test_kernel_counts_what_the_checks_count(spark):
-    for grid in (GRID, changed(3, 1, "9 000"), changed(1, 1, "12 3 4"), changed(2, 3, "5 000 000 000"), changed(2, 2, "-")):
-        row = tables.frames(grids(spark, grid)).first()
-        count = kernel_checks.count_failures(list(row["names"]), list(row["labels"]), [[parse(c) for c in r] for r in row["body"]], DEFAULT)
-        assert count == len(fails(spark, grid)), grid
+def test_total_without_numbers_is_skipped(spark):
+    grid = [["", "2020", "2021", "Total"], ["Nord", "1", "2", "-"], ["Sud", "3", "4", "nd"], ["Total", "-", "-", "-"]]
+    framed = cut(tables.frames(grids(spark, grid, [["", "a", "b", "c"], ["x", "1", "2", "3"], ["y", "1", "2", "3"], ["z", "1", "2", "3"]])), "frames")
+    cells = cut(tables.tall(framed), "cells")
+    got = {(r["page"], r["name"]): (r["status"], r["detail"]) for f in (checks.column_total_check, checks.row_total_check) for r in f(cells).collect()}
+    assert got == {
+        (0, "column_total"): ("skip", "the total row has no numbers to compare"),
+        (0, "row_total"): ("skip", "the total column has no numbers to compare"),
+        (1, "column_total"): ("skip", "no total row to compare"),
+        (1, "row_total"): ("skip", "no total column to compare"),
+    }
+
+
+def rows_of(spark, *grids_):
+    """Tables of the repair kernel, with numbers parsed by Spark."""
+    framed = tables.frames(grids(spark, *grids_)).select("page", "stage", "names", "labels", "body", repair._parsed(F.col("body")).alias("parsed")).orderBy("page").collect()
+    return [repair.Rows(r["stage"], r["names"], r["labels"], r["body"], [[c.asDict() for c in row] for row in r["parsed"]]) for r in framed]
+
+
+def test_ledger_counts_what_the_checks_count(spark):
+    rng = random.Random(4)
+    nested = [["", "2020", "2021"], ["Mil / Superficie", "1 000", "2 000"], ["Mil / Rendement", "500", "400"], ["Mil / Production", "500", "900"], ["Total", "9", "9"]]
+    totals = [["", "a", "b", "Ensemble"], ["x", "1", "2", "3"], ["y taux", "1", "5", "9"], ["z", "3", "4", "7"], ["Total", "5", "99", "19"]]
+    several = [GRID, changed(3, 1, "9 000"), changed(1, 1, "12 3 4"), changed(2, 3, "5 000 000 000"), changed(2, 2, "-"), nested, totals, [["", "Total 1 234", "b"], ["x", "1", "2"], ["y", "1", "2"]]]
+    for _ in range(12):
+        several.append([["", "Superficie", "Rendement", "Production", "Total"], *[[label, *[rng.choice(["1", "20", "300", "-", "1 2", "2 000", "0", "9 000 000 000"]) for _ in range(4)]] for label in ("a", "b", "Niger", "prix")]])
+    framed = cut(tables.frames(grids(spark, *several)), "frames")
+    found = checks.run_checks(framed, cut(tables.tall(framed), "cells")).filter("status = 'fail'").groupBy("page").count().collect()
+    want = {r["page"]: r["count"] for r in found}
+    each = rows_of(spark, *several)
+    ledgers = [repair.Ledger(t.names, t.labels, t.values, t.errors) for t in each]
+    assert [x.failures for x in ledgers] == [want.get(i, 0) for i in range(len(several))]
+    for t, ledger in zip(each, ledgers):  # rows exchanged one after another, against counts from nothing
+        values, errors = t.values.copy(), t.errors.copy()
+        for _ in range(6):
+            i, k = rng.randrange(len(t.labels)), rng.randrange(len(t.labels))
+            values[i], errors[i] = t.values[k] * rng.choice([1, 1, 2]), t.errors[k]
+            ledger = ledger.with_row(i, values[i].copy(), errors[i].copy())
+            assert ledger.failures == repair.Ledger(t.names, t.labels, values, errors).failures
 
 
 def test_header_check(spark):
@@ -72,14 +108,21 @@ def test_period_jump_skips_series_with_a_period_twice(spark):
     assert [(r["row"], r["column"]) for r in got] == [("NE / P / Mil", "2021")]
 
 
-def test_repair_takes_agreeing_rows_only():
-    names, labels = ["a", "b", "Total"], ["x", "y", "Total"]
-    body = [["1", "2", "3"], ["12 3 4", "5", "9"], ["5", "7", "12"]]
-    good = {"stage": "ml", "names": names, "labels": labels, "body": [["1", "2", "3"], ["4", "5", "9"], ["5", "7", "12"]]}
-    other = good | {"body": [["1", "2", "3"], ["4", "6", "9"], ["5", "7", "12"]]}
-    assert select.repair_table(names, labels, body, "text", [other])[2] == ["text"] * 3
-    fixed = select.repair_table(names, labels, body, "text", [other, good])
-    assert fixed[1][1] == ["4", "5", "9"] and fixed[2] == ["text", "ml", "text"]
+def test_repair_takes_agreeing_rows_only(spark):
+    head = ["", "a", "b", "Total"]
+    bad = [head, ["x", "1", "2", "3"], ["y", "12 3 4", "5", "9"], ["Total", "5", "7", "12"]]
+    good = [head, ["x", "1", "2", "3"], ["y", "4", "5", "9"], ["Total", "5", "7", "12"]]
+    other = [head, ["x", "1", "2", "3"], ["y", "4", "6", "9"], ["Total", "5", "7", "12"]]
+    alone, _ = rows_of(spark, bad, other)
+    assert repair.mend(alone, rows_of(spark, other)) == ["text"] * 3
+    table = rows_of(spark, bad)[0]
+    donors = rows_of(spark, other, good)
+    donors[1].stage = "ml"
+    assert repair.mend(table, donors) == ["text", "ml", "text"] and table.body[1] == ["4", "5", "9"]
+    framed = cut(tables.frames(grids(spark, bad, good)), "frames")
+    given = framed.filter("page = 1").select("doc", F.lit(0).alias("page"), "stage", "table_no", F.array(F.struct(F.lit("ml").alias("stage"), "names", "labels", "body")).alias("donors"))
+    got = repair.repair(framed, given).orderBy("page").collect()
+    assert got[0]["sources"] == ["text", "ml", "text"] and got[0]["body"] == got[1]["body"] and got[1]["sources"] == ["text"] * 3
 
 
 def test_periods_units_codes(spark):
