@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
 
 def prepare(text: str) -> str:
     """Lower case, everything but letters and digits to blanks, trimmed."""
@@ -73,3 +75,61 @@ def weighted_ratio(a: str, b: str) -> float:
         return max(best, 0.95 * token_ratio(a, b))
     scale = 0.9 if spread < 8 else 0.6
     return max(best, scale * partial_ratio(a, b), 0.95 * scale * token_ratio(a, b, partial_ratio))
+
+
+# ---------------------------------------------------------------- the best of many
+
+_CLASSES = 64
+
+
+def letters(text: str) -> np.ndarray:
+    """How often each letter occurs, letters dealt to a few classes: common letters are never counted too low."""
+    return np.bincount(np.frombuffer(text.encode("utf-32-le"), "<u4") % _CLASSES, minlength=_CLASSES)
+
+
+class Shelf:
+    """Entries (tuples that begin with a label) in order, of which `best` finds the most similar.
+
+    Letters that two texts have in common bound their longest common subsequence, and so each ratio:
+    without a common word, a score of s needs a plain ratio of s, a ratio of sorted or distinct words
+    of s / 0.95, or, beyond one and a half lengths, s / 0.9 (of words: s / 0.855) of a stretch, where the
+    common letters make up s / (180 - s) (s / (171 - s)) of the shorter text at least.
+    """
+
+    def __init__(self, entries: list[tuple]) -> None:
+        self.entries = entries
+        self.texts = [prepare(e[0] or "") for e in entries]
+        sets = [" ".join(sorted(set(t.split()))) for t in self.texts]
+        self.bags = np.array([letters(t) for t in self.texts]).reshape(-1, _CLASSES)
+        self.set_bags = np.array([letters(t) for t in sets]).reshape(-1, _CLASSES)
+        self.size = np.array([len(t) for t in self.texts], int)
+        self.set_size = np.array([len(t) for t in sets], int)
+        self.words: dict[str, list[int]] = {}
+        for i, t in enumerate(self.texts):
+            for w in set(t.split()):
+                self.words.setdefault(w, []).append(i)
+
+    def possible(self, text: str, threshold: float) -> np.ndarray:
+        """Numbers of entries that may reach the threshold, in order."""
+        text = prepare(text)
+        if not text or not self.entries:
+            return np.zeros(0, int)
+        words = set(text.split())
+        distinct = " ".join(sorted(words))
+        common = np.minimum(self.bags, letters(text)).sum(1)
+        common_sets = np.minimum(self.set_bags, letters(distinct)).sum(1)
+        shorter, longer = np.minimum(self.size, len(text)), np.maximum(self.size, len(text))
+        near = (200 * common >= threshold * (self.size + len(text))) | (200 * common_sets >= threshold / 0.95 * (self.set_size + len(distinct)) - 1e-9)
+        near |= (longer >= 1.5 * shorter) & (common * (180 - threshold) >= threshold * shorter - 1e-9)
+        near |= common_sets * (171 - threshold) >= threshold * np.minimum(self.set_size, len(distinct)) - 1e-9
+        near[[i for w in words for i in self.words.get(w, ())]] = True
+        return np.flatnonzero(near & (self.size > 0))
+
+    def best(self, text: str, threshold: float) -> tuple[float, tuple] | None:
+        """(score, entry) of the best at the threshold or above, the first on ties."""
+        found = None
+        for i in self.possible(text, threshold).tolist():
+            score = weighted_ratio(text, self.entries[i][0])
+            if score >= threshold and (found is None or score > found[0]):
+                found = (score, self.entries[i])
+        return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,24 +38,24 @@ def audit_summary(ours: DataFrame, audited: DataFrame) -> DataFrame:
     return n.crossJoin(m).select("n_ours", "n_matched", "n_agreeing", (F.col("n_matched") - F.col("n_agreeing")).alias("n_differing"), (F.col("n_ours") - F.col("n_matched")).alias("n_report_only"))
 
 
-def truth_score(truth: DataFrame, cells: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """One row: n_cells, n_hits, share; a truth cell is hit if the first row and column that hold its labels have its value.
+def truth_scores(truth: DataFrame, cells: DataFrame, key: Sequence[str], tolerance: float = 0.5) -> DataFrame:
+    """key, n_cells, n_hits, share of each table with a truth; a truth cell is hit if the first row and column that hold its labels have its value.
 
-    truth(row, column, value); cells are one table's tall cells, or one table for each truth. Labels
-    are matched once each on the distinct labels of both sides, by equality or containment.
+    truth(key…, row, column, value); cells are tall cells with the key. Labels meet below their table's
+    key, by equality or containment, so pairs are those of one table's labels; a table that wasn't read
+    has no hits.
     """
-    rows = _match(truth.select(F.col("row").alias("wanted")), cells.select(F.col("row_label").alias("label"), F.col("r").alias("ord"))).select(F.col("wanted").alias("row"), F.col("ord").alias("r"))
-    cols = _match(truth.select(F.col("column").alias("wanted")), cells.select(F.col("col_name").alias("label"), F.col("c").alias("ord"))).select(F.col("wanted").alias("column"), F.col("ord").alias("c"))
-    found = truth.join(rows, "row", "left").join(cols, "column", "left").join(cells.select("r", "c", F.col("value").alias("read")), ["r", "c"], "left")
-    return found.agg(F.count("*").alias("n_cells"), F.count_if(F.abs(F.col("value") - F.col("read")) <= tolerance).alias("n_hits")).withColumn("share", F.coalesce(F.try_divide("n_hits", "n_cells"), F.lit(0.0)))
+    rows = _match(truth.select(*key, F.col("row").alias("wanted")), cells.select(*key, F.col("row_label").alias("label"), F.col("r").alias("ord")), key).select(*key, F.col("wanted").alias("row"), F.col("ord").alias("r"))
+    cols = _match(truth.select(*key, F.col("column").alias("wanted")), cells.select(*key, F.col("col_name").alias("label"), F.col("c").alias("ord")), key).select(*key, F.col("wanted").alias("column"), F.col("ord").alias("c"))
+    found = truth.join(rows, [*key, "row"], "left").join(cols, [*key, "column"], "left").join(cells.select(*key, "r", "c", F.col("value").alias("read")), [*key, "r", "c"], "left")
+    return found.groupBy(*key).agg(F.count("*").alias("n_cells"), F.count_if(F.abs(F.col("value") - F.col("read")) <= tolerance).alias("n_hits")).withColumn("share", F.coalesce(F.try_divide("n_hits", "n_cells"), F.lit(0.0)))
 
 
-def _match(wanted: DataFrame, labels: DataFrame) -> DataFrame:
-    """The first label in order that equals, or contains, each wanted text."""
+def _match(wanted: DataFrame, labels: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The first label of the table, in order, that equals, or contains, each wanted text."""
     w = wanted.distinct().withColumn("w", X.normal(F.col("wanted")))
-    each = labels.groupBy(X.normal(F.col("label")).alias("t")).agg(F.min("ord").alias("ord"))
-    hit = w.join(each, F.col("t").contains(F.col("w")))  # distinct labels of one table on both sides
-    return hit.groupBy("wanted").agg(F.min("ord").alias("ord"))
+    each = labels.groupBy(*key, X.normal(F.col("label")).alias("t")).agg(F.min("ord").alias("ord"))
+    return w.join(each, list(key)).filter(F.col("t").contains(F.col("w"))).groupBy(*key, "wanted").agg(F.min("ord").alias("ord"))
 
 
 def label_counts(long: DataFrame, pairs: dict[str, str]) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import text as X
 from gridmill.functions.numbers import strip
-from gridmill.functions.similarity import weighted_ratio
+from gridmill.functions.similarity import Shelf
 from gridmill.operators.tables import KEY
 from gridmill.options import DEFAULT, Options
 from gridmill.shared import cut
@@ -38,8 +38,9 @@ def exact_codes(labels: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def fuzzy_codes(labels: DataFrame, vocabulary: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """labels(label, dimension) with code, unit and score of the best entry at the threshold or above; null if none.
 
-    Each batch of distinct labels is scored against the vocabulary, a code list that a person keeps;
-    it is read in blocks of bounded size, and the best of all blocks wins, the first on ties.
+    Distinct labels are scored batch by batch against the vocabulary, a code list that a person keeps,
+    which is read in blocks of bounded size; the best of all blocks wins, the first on ties. Only
+    entries that share a word or enough letters with a label are scored.
     """
     out = None
     block: list = []
@@ -47,15 +48,11 @@ def fuzzy_codes(labels: DataFrame, vocabulary: DataFrame, options: Options = DEF
     def scored(entries: list) -> DataFrame:
         @F.pandas_udf("struct<score:double,ord:int,code:string,unit:string>")
         def best(label: pd.Series, dimension: pd.Series) -> pd.DataFrame:
+            shelves = {d: Shelf([e for e in entries if e[2] == d]) for d in set(dimension)}
             rows = []
             for text, dim in zip(label, dimension):
-                top = (None, None, None, None)
-                for e in entries:
-                    if e[2] == dim:
-                        s = weighted_ratio(text or "", e[0])
-                        if s >= options.vocabulary_threshold and (top[0] is None or s > top[0]):
-                            top = (s, e[4], e[1], e[3])
-                rows.append(top)
+                found = shelves[dim].best(text or "", options.vocabulary_threshold)
+                rows.append((None, None, None, None) if found is None else (found[0], found[1][4], found[1][1], found[1][3]))
             return pd.DataFrame(rows, columns=["score", "ord", "code", "unit"])
 
         return labels.select("label", "dimension", best("label", "dimension").alias("b"))
@@ -85,7 +82,7 @@ def parts(label: Column) -> Column:
     return F.split(label, X.JOIN, -1)
 
 
-def part_codes(labels: DataFrame, vocabulary: DataFrame, fuzzy: bool = False, options: Options = DEFAULT) -> DataFrame:
+def part_codes(labels: DataFrame, vocabulary: DataFrame, fuzzy: bool = True, options: Options = DEFAULT) -> DataFrame:
     """For each distinct label its parts in order: pos, part, is_total, and codes by dimension (area, measure, breakdown)."""
     split = labels.select("label").distinct().select("label", F.posexplode(parts(F.col("label"))).alias("pos", "raw")).withColumn("part", strip(F.col("raw")))
     wanted = split.select(F.col("part").alias("label")).distinct().crossJoin(split.sparkSession.createDataFrame([(AREA,), (MEASURE,), (BREAKDOWN,)], "dimension string"))
@@ -141,7 +138,7 @@ def split_indicators(coded: DataFrame) -> DataFrame:
     )
 
 
-def title_measures(titles: DataFrame, vocabulary: DataFrame, fuzzy: bool = False, options: Options = DEFAULT) -> DataFrame:
+def title_measures(titles: DataFrame, vocabulary: DataFrame, fuzzy: bool = True, options: Options = DEFAULT) -> DataFrame:
     """title, measure, measure_label: the first word of a title that names a measure; titles without are absent."""
     words = titles.select("title").distinct().select("title", F.posexplode(F.split("title", r"[\s,;:.]+", -1)).alias("pos", "label")).filter("label <> ''")
     found = codes(words.select("label", F.lit(MEASURE).alias("dimension")), vocabulary, fuzzy, options).filter("code is not null").select("label", "code")
@@ -149,7 +146,7 @@ def title_measures(titles: DataFrame, vocabulary: DataFrame, fuzzy: bool = False
     return best.select("title", F.col("b.code").alias("title_measure"), F.col("b.label").alias("title_measure_label"))
 
 
-def axis_kinds(labels: DataFrame, key: Sequence[str], vocabulary: DataFrame, fuzzy: bool = False, options: Options = DEFAULT) -> DataFrame:
+def axis_kinds(labels: DataFrame, key: Sequence[str], vocabulary: DataFrame, fuzzy: bool = True, options: Options = DEFAULT) -> DataFrame:
     """key and kind of an axis ("year", "area" or "other") from labels(key…, label), one row a label."""
     clean = labels.select(*key, X.without_duplicate_suffix(F.col("label")).alias("label"))
     areas = codes(clean.select("label", F.lit(AREA).alias("dimension")), vocabulary, fuzzy, options).select("label", F.col("code").isNotNull().alias("is_area"))
@@ -174,41 +171,50 @@ def with_status(cells: DataFrame, checks: DataFrame, key: Sequence[str] = KEY) -
     return marked.withColumn("OBS_STATUS", F.when(failed, "U").otherwise("A")).drop("cell_failed", "table_failed")
 
 
-def to_long(cells: DataFrame, checks: DataFrame, context: DataFrame, vocabulary: DataFrame, key: Sequence[str] = KEY, fuzzy: bool = False, options: Options = DEFAULT) -> DataFrame:
-    """One observation a cell that isn't missing, with the key and the columns of LONG.
+#: What names an observation's words: its labels and axis kinds, and the subject of its table.
+WORDS = ("row_text", "col_text", "row_kind", "col_kind", "subject")
 
-    `context` has the key and title, unit, subject, period and source of each table. Lookups run on
-    distinct labels; tables, labels and cells meet by equi-joins.
+
+def described(words: DataFrame, vocabulary: DataFrame, fuzzy: bool = True, options: Options = DEFAULT) -> DataFrame:
+    """WORDS with area_text, area_code, time_text (null: none), what, and its measure, breakdown and unit; for distinct words."""
+
+    def pick(which: str) -> Column:
+        return F.when(F.col("row_kind") == which, F.col("row_text")).when(F.col("col_kind") == which, F.col("col_text"))
+
+    rest = F.array_join(F.filter(F.array(F.when(F.col("row_kind") == "other", F.col("row_text")), F.when(F.col("col_kind") == "other", F.col("col_text"))), lambda p: p.isNotNull()), X.JOIN)
+    own = (F.col("row_kind") == "other") | (F.col("col_kind") == "other")
+    x = words.withColumn("area_text", F.coalesce(pick("area"), F.lit(""))).withColumn("time_text", pick("year")).withColumn("own", F.when(own, rest).otherwise(F.col("subject")))
+    areas = resolve_areas(part_codes(x.select(F.col("area_text").alias("label")), vocabulary, fuzzy, options), options).withColumnRenamed("label", "area_text")
+    what = F.when((F.col("area_text") == "") | (F.col("area_rest") == ""), F.col("own")).when(F.col("own") == F.col("subject"), F.col("area_rest")).otherwise(F.concat_ws(X.JOIN, "area_rest", "own"))
+    x = cut(x.join(areas, "area_text").withColumn("what", what), "words")
+    split = split_indicators(part_codes(x.select(F.col("what").alias("label")), vocabulary, fuzzy, options)).withColumnRenamed("label", "what").withColumnRenamed("unit", "mapped_unit")
+    return x.join(split, "what").select(*WORDS, "area_text", "area_code", "time_text", "what", "measure", "measure_label", "breakdown", "breakdown_label", "mapped_unit")
+
+
+def to_long(cells: DataFrame, checks: DataFrame, context: DataFrame, vocabulary: DataFrame, key: Sequence[str] = KEY, fuzzy: bool = True, options: Options = DEFAULT) -> DataFrame:
+    """One observation a cell that isn't missing, with the key, the columns of LONG, TABLE and TABLE_TITLE.
+
+    `context` has the key and title, unit, subject, period and source of each table. Cells may have a
+    column `method`, the reader that each row came from. Tables and cells meet on the key; lookups run
+    on the distinct words of observations, which meet the cells once.
     """
     key = list(key)
     live = with_status(cells, checks, key).filter("status <> 'missing'")
     rows = axis_kinds(cells.select(*key, F.col("row_label").alias("label"), "r").distinct(), key, vocabulary, fuzzy, options).withColumnRenamed("kind", "row_kind")
     columns = axis_kinds(cells.select(*key, F.col("col_name").alias("label"), "c").distinct(), key, vocabulary, fuzzy, options).withColumnRenamed("kind", "col_kind")
     x = live.join(rows, key).join(columns, key).join(context, key)
-    row, col = X.without_duplicate_suffix(F.col("row_label")), strip(F.col("col_name"))
 
     def kind(label: Column, axis: Column) -> Column:
         return F.when((axis == "year") & ~X.is_period(label), "other").otherwise(axis)
 
-    x = x.withColumn("row_text", row).withColumn("col_text", col)
+    x = x.withColumn("row_text", X.without_duplicate_suffix(F.col("row_label"))).withColumn("col_text", strip(F.col("col_name"))).withColumn("subject", F.coalesce("subject", F.lit("")))
     x = x.withColumn("row_kind", kind(F.col("row_text"), F.col("row_kind"))).withColumn("col_kind", kind(F.col("col_text"), F.col("col_kind")))
-
-    def pick(which: str, default: Column) -> Column:
-        return F.when(F.col("row_kind") == which, F.col("row_text")).when(F.col("col_kind") == which, F.col("col_text")).otherwise(default)
-
-    rest = F.array_join(F.filter(F.array(F.when(F.col("row_kind") == "other", F.col("row_text")), F.when(F.col("col_kind") == "other", F.col("col_text"))), lambda p: p.isNotNull()), X.JOIN)
-    x = x.withColumn("area_text", pick("area", F.lit(""))).withColumn("time_text", pick("year", F.col("period"))).withColumn("own", (F.col("row_kind") == "other") | (F.col("col_kind") == "other"))
-    x = cut(x.withColumn("what", F.when(F.col("own"), rest).otherwise(F.col("subject"))), "axes")
-    areas = resolve_areas(part_codes(x.select(F.col("area_text").alias("label")), vocabulary, fuzzy, options), options).withColumnRenamed("label", "area_text")
-    x = x.join(areas, "area_text")
-    joined = F.when((F.col("area_text") == "") | (F.col("area_rest") == ""), F.col("what")).when(F.col("what") == F.col("subject"), F.col("area_rest")).otherwise(F.concat_ws(X.JOIN, "area_rest", "what"))
-    x = cut(x.withColumn("what", joined), "areas")
-    split = split_indicators(part_codes(x.select(F.col("what").alias("label")), vocabulary, fuzzy, options)).withColumnRenamed("label", "what").withColumnRenamed("unit", "mapped_unit")
+    found = described(x.select(*WORDS).distinct(), vocabulary, fuzzy, options)
     titled = title_measures(context.select("title"), vocabulary, fuzzy, options)
-    x = x.join(split, "what").join(titled, "title", "left")
-    period = X.time_period(F.col("time_text"))
+    x = x.join(found, list(WORDS)).join(titled, "title", "left").withColumn("time_text", F.coalesce("time_text", "period"))
     unit = X.unit_for(F.col("what"), F.col("mapped_unit"), F.col("unit"))
-    x = x.withColumn("TIME_PERIOD", period).withColumn("u", unit)
+    x = x.withColumn("TIME_PERIOD", X.time_period(F.col("time_text"))).withColumn("u", unit)
+    method = F.col("method") if "method" in cells.columns else F.col("stage") if "stage" in key else F.lit("grid")
     return x.select(
         *key,
         X.frequency(F.col("TIME_PERIOD")).alias("FREQ"),
@@ -221,9 +227,11 @@ def to_long(cells: DataFrame, checks: DataFrame, context: DataFrame, vocabulary:
         F.col("u.mult").alias("UNIT_MULT"),
         "OBS_STATUS",
         F.col("time_text").alias("TIME_PERIOD_LABEL"),
-        F.col("stage").alias("EXTRACTION_METHOD") if "stage" in key else F.lit("grid").alias("EXTRACTION_METHOD"),
+        method.alias("EXTRACTION_METHOD"),
         F.col("source").alias("SOURCE"),
         F.when(F.col("area_text") != "", F.col("area_text")).otherwise(options.country_name).alias("REF_AREA_LABEL"),
         F.coalesce("measure_label", "title_measure_label", F.lit("not identified")).alias("INDICATOR_LABEL"),
         F.col("breakdown_label").alias("COMPOSITE_BREAKDOWN_LABEL"),
+        (F.col("table_no") if "table_no" in key else F.lit(0)).alias("TABLE"),
+        F.col("title").alias("TABLE_TITLE"),
     )

@@ -65,14 +65,23 @@ def stage_scores(candidates: DataFrame, page: Sequence[str] = PAGE) -> DataFrame
     return ok.groupBy(*page, "stage", "stage_rank").agg(F.count("*").alias("n_tables"), F.sum("failed").alias("failures"))
 
 
+def _last_rank(candidates: DataFrame, page: Sequence[str]) -> DataFrame:
+    """The rank of the first stage of each page whose accepted tables fail no check; null for none."""
+    return stage_scores(candidates, page).groupBy(*page).agg(F.min(F.when(F.col("failures") == 0, F.col("stage_rank"))).alias("last_rank"))
+
+
+def ran(candidates: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
+    """Candidates of stages that would have run: none after the first one whose accepted tables fail no check."""
+    return candidates.join(_last_rank(candidates, page), list(page), "left").filter("last_rank is null or stage_rank <= last_rank").drop("last_rank")
+
+
 def winners(candidates: DataFrame, page: Sequence[str] = PAGE) -> DataFrame:
     """The stage that wins each page: most accepted tables, then fewest failures, then the order of stages.
 
     Stages after the first one without failures don't take part, as if they had never run.
     """
     scores = stage_scores(candidates, page)
-    clean = scores.groupBy(*page).agg(F.min(F.when(F.col("failures") == 0, F.col("stage_rank"))).alias("last_rank"))
-    run = scores.join(clean, list(page)).filter("last_rank is null or stage_rank <= last_rank")
+    run = scores.join(_last_rank(candidates, page), list(page)).filter("last_rank is null or stage_rank <= last_rank")
     best = run.groupBy(*page).agg(F.min(F.struct((-F.col("n_tables")).alias("n"), "failures", "stage_rank", "stage")).alias("w"))
     return best.select(*page, F.col("w.stage").alias("stage"), F.col("w.stage_rank").alias("stage_rank"), (-F.col("w.n")).alias("n_tables"), F.col("w.failures").alias("failures"))
 

@@ -69,3 +69,24 @@ def vocabulary(spark: SparkSession) -> DataFrame:
 def order_context(grids: DataFrame) -> DataFrame:
     """Caption, unit and default period of each printed table."""
     return grids.select("doc", "page", "stage", "table_no", F.concat(F.lit("Tableau "), F.col("page").cast("string"), F.lit(": Montant des commandes")).alias("title"), F.lit("US$").alias("unit"), F.lit("UNKNOWN").alias("subject"), F.lit("2001").alias("period"), F.lit("orders.pdf").alias("source"))
+
+
+#: The grids that two readers make of five nations a page, and what is wrong with them, by page:
+#: even pages: in the first table the text reader's first total is unreadable; the second reader lacks the last table;
+#: page 1: the text reader's first table has no numbers, and a total in the second is unreadable; page 3: all is well.
+def two_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both readers' printed tables, the second reader's in reverse order on the page."""
+    good = order_grids(spark, sf_dir, planted=False).withColumn("nation", F.col("page")).withColumn("page", F.floor(F.col("nation") / 5).cast("int")).withColumn("table_no", F.col("nation") % 5)
+    last = F.size("cells") - 1
+    unread = F.transform("cells", lambda r, i: F.when(i == last, F.concat(F.slice(r, 1, 1), F.array(F.lit("12 3 4")), F.slice(r, 3, 100))).otherwise(r))
+    words = F.transform("cells", lambda r, i: F.when(i == 0, r).otherwise(F.transform(r, lambda c, j: F.when(j == 0, c).otherwise(F.lit("texte")))))
+    text = F.when(((F.col("table_no") == 0) & (F.col("page") % 2 == 0)) | ((F.col("table_no") == 1) & (F.col("page") == 1)), unread).when((F.col("table_no") == 0) & (F.col("page") == 1), words).otherwise(F.col("cells"))
+    first = good.withColumn("cells", text)
+    second = good.filter("page % 2 = 1 or table_no < 4").withColumn("stage", F.lit("ml")).withColumn("stage_rank", F.lit(1)).withColumn("table_no", 4 - F.col("table_no"))
+    return first.unionByName(second).drop("nation")
+
+
+def captioned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of pages of five tables: a caption a table, a unit below the first, figures; and a page without text."""
+    text = "concat('Bulletin 2010\\n', array_join(transform(sequence(0, 4), i -> concat('Tableau ', i + 1, ': Montant des commandes, zone ', chr(65 + 5 * p + i), ' en 2010\\n', CASE WHEN i = 0 THEN 'Unité : US$\\n' ELSE '' END, repeat('12 345,67 ', 20))), '\\n'))"
+    return sql(spark, sf_dir, f"SELECT 'orders' AS doc, CAST(p AS INT) AS page, CASE WHEN p < 5 THEN {text} ELSE ' ' END AS text FROM (SELECT DISTINCT n_nationkey div 5 AS p FROM {{nation}} UNION ALL SELECT 5)")

@@ -23,7 +23,7 @@ class Observed:
     long: DataFrame
 
 
-def observe(grids: DataFrame, context: DataFrame, vocabulary: DataFrame, key: Sequence[str] = KEY, fuzzy: bool = False, options: Options = DEFAULT) -> Observed:
+def observe(grids: DataFrame, context: DataFrame, vocabulary: DataFrame, key: Sequence[str] = KEY, fuzzy: bool = True, options: Options = DEFAULT) -> Observed:
     """Frames, tall cells, checks and long observations of all tables.
 
     `context` has the key and title, unit, subject, period, source of each table.

@@ -12,6 +12,7 @@ from gridmill.functions import numbers as N
 from gridmill.functions import text as X
 from gridmill.operators import audit, checks, coding, repair, select, summary, tables
 from gridmill.options import DEFAULT
+from gridmill.plans import cascade
 from gridmill.plans import inputs as I
 from gridmill.plans.observations import observe
 from gridmill.shared import cut
@@ -133,10 +134,10 @@ def drop_empty_columns(spark, d):
     return cells.groupBy(F.col("c").cast("long").alias("c"), "col_name").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_name AS row_label, CAST(n_nationkey AS DOUBLE) AS value, CAST(n_regionkey AS DOUBLE) AS region FROM nation WHERE n_nationkey < 24")
+@query("SELECT n_name AS row_label, CAST(n_nationkey AS DOUBLE) AS value, CAST(n_regionkey AS DOUBLE) AS region FROM nation")
 def unstack_rows(spark, d):
     rows = I.sql(spark, d, """
-    SELECT n_nationkey div 3 AS page, array_sort(collect_list(struct(n_nationkey AS k, n_name AS name, n_regionkey AS region))) AS x FROM {nation} WHERE n_nationkey < 24 GROUP BY 1
+    SELECT n_nationkey div 3 AS page, array_sort(collect_list(struct(n_nationkey AS k, n_name AS name, n_regionkey AS region))) AS x FROM {nation} GROUP BY 1
     """)
     lines = [F.array_join(F.transform("x", lambda e: e[c].cast("string")), "\n") for c in ("k", "region")]
     cells = F.concat(F.array(F.array(F.lit("Pays"), F.lit("Clé"), F.lit("Région"))), F.transform("x", lambda e, i: F.when(i == 0, F.array(e["name"], *lines)).otherwise(F.array(e["name"], F.lit(""), F.lit("")))))
@@ -183,7 +184,9 @@ cells AS (
   SELECT page, p AS row, CAST(y AS VARCHAR) AS col, CAST(v AS DOUBLE) AS v FROM g
   UNION ALL SELECT page, p, 'Total', CAST(v AS DOUBLE) FROM rt
   UNION ALL SELECT page, 'Total', CAST(y AS VARCHAR), CASE WHEN page % 5 = 0 AND y = 1995 THEN round(CAST(v AS DOUBLE) * 1.5, 2) ELSE CAST(v AS DOUBLE) END FROM ct
-  UNION ALL SELECT page, 'Total', 'Total', CAST(v AS DOUBLE) FROM tt)
+  UNION ALL SELECT page, 'Total', 'Total', CAST(v AS DOUBLE) FROM tt),
+steps AS (SELECT page, row, col, v, lag(v) OVER (PARTITION BY page, row ORDER BY col) AS b FROM cells WHERE col <> 'Total'),
+jumps AS (SELECT page, row, col, CASE WHEN b > 0 AND v > 0 AND (v > b * 5 OR b > v * 5) THEN 1 ELSE 0 END AS j FROM steps)
 """
 
 
@@ -245,15 +248,18 @@ s AS (SELECT *, lag(v) OVER (PARTITION BY n ORDER BY t) AS b FROM v)
 SELECT 'N' || n || ' / Montant' AS row, t AS "column", 'warn' AS status FROM s WHERE n <> 6 AND b > 0 AND v > 0 AND (v > b * 5 OR b > v * 5)
 """)
 def period_jump_check(spark, d):
-    """Nation 6 has a period twice, so its series is left out."""
+    return checks.period_jump_check(_quarters(spark, d)).select("row", "column", "status")
+
+
+def _quarters(spark, d):
+    """Observations by nation and quarter; nation 6 has a period twice, so its series is left out."""
     long = I.sql(spark, d, """
     SELECT 'Q' AS FREQ, concat('N', n) AS REF_AREA, 'MNT' AS INDICATOR, '_Z' AS COMPOSITE_BREAKDOWN, 'USD' AS UNIT_MEASURE, '0' AS UNIT_MULT, t AS TIME_PERIOD, v AS OBS_VALUE, 'A' AS OBS_STATUS, concat('Tableau 4.', y, ': Montant par pays en ', y) AS TABLE_TITLE,
       y AS PAGE, 1 AS TABLE, '' AS REF_AREA_LABEL, 'Montant' AS INDICATOR_LABEL, '' AS COMPOSITE_BREAKDOWN_LABEL FROM (
       SELECT c_nationkey AS n, year(o_orderdate) AS y, concat(year(o_orderdate), '-Q', quarter(o_orderdate)) AS t, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * CASE WHEN quarter(o_orderdate) = 2 AND c_nationkey % 3 = 0 THEN 50 ELSE 1 END AS v
       FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_nationkey, year(o_orderdate), quarter(o_orderdate))
     """)
-    long = long.unionByName(long.filter("REF_AREA = 'N6' and TIME_PERIOD = '1997-Q1'"))
-    return checks.period_jump_check(long).select("row", "column", "status")
+    return long.unionByName(long.filter("REF_AREA = 'N6' and TIME_PERIOD = '1997-Q1'"))
 
 
 # ---------------------------------------------------------------- coding
@@ -309,7 +315,7 @@ def vocabulary_fuzzy(spark, d):
 
 
 _SLUG_SQL = """
-WITH l AS (SELECT p_name AS label FROM part UNION SELECT o_orderpriority FROM orders UNION SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_matches(w, '[À-ÿ]') AND NOT regexp_matches(w, '[^ -~À-ÿ]')),
+WITH l AS (SELECT p_name AS label FROM part UNION SELECT o_orderpriority FROM orders UNION SELECT w FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE regexp_matches(w, '[^ -~]')),
 s AS (SELECT label, upper(regexp_replace(strip_accents(label), '[^A-Za-z0-9_@$-]+', '_', 'g')) AS u FROM l),
 t AS (SELECT label, regexp_replace(u, '_+$', '') AS u FROM s)
 SELECT label, coalesce(nullif(CASE WHEN starts_with(label, '_') THEN u ELSE regexp_replace(u, '^_+', '') END, ''), 'UNKNOWN') AS code FROM t
@@ -318,7 +324,7 @@ SELECT label, coalesce(nullif(CASE WHEN starts_with(label, '_') THEN u ELSE rege
 
 @query(_SLUG_SQL)
 def sdmx_code_slug(spark, d):
-    labels = I.sql(spark, d, "SELECT p_name AS label FROM {part} UNION SELECT o_orderpriority FROM {orders} UNION SELECT w FROM (SELECT explode(split(text, ' ')) AS w FROM {documents}) WHERE w RLIKE '[À-ÿ]' AND NOT w RLIKE '[^ -~À-ÿ]'")
+    labels = I.sql(spark, d, "SELECT p_name AS label FROM {part} UNION SELECT o_orderpriority FROM {orders} UNION SELECT w FROM (SELECT explode(split(text, ' ')) AS w FROM {documents}) WHERE w RLIKE '[^ -~]'")
     return labels.select("label", X.sdmx_code(F.col("label")).alias("code"))
 
 
@@ -347,11 +353,12 @@ def unit_multiplier(spark, d):
 
 
 @query("""
-WITH t AS (SELECT c_custkey AS page, year(o_orderdate) AS y, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2)
-SELECT page, CAST(arg_max(y, (n, y)) AS VARCHAR) AS period FROM t GROUP BY page HAVING sum(n) <= 100
+WITH t AS (SELECT c_custkey AS page, string_agg(CAST(year(o_orderdate) AS VARCHAR), ', ' ORDER BY o_orderkey) AS text FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+p AS (SELECT page, unnest(regexp_extract_all(substr(text, 1, 600), '(?:19|20)[0-9]{2}')) AS y FROM t), n AS (SELECT page, y, count(*) AS n FROM p GROUP BY ALL)
+SELECT page, arg_max(y, (n, y)) AS period FROM n GROUP BY page
 """)
 def detect_period(spark, d):
-    pages = I.sql(spark, d, "SELECT c_custkey AS page, array_join(collect_list(CAST(year(o_orderdate) AS STRING)), ', ') AS text FROM {customer} JOIN {orders} ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) <= 100")
+    pages = I.sql(spark, d, "SELECT c_custkey AS page, array_join(transform(array_sort(collect_list(struct(o_orderkey, year(o_orderdate) AS y))), x -> CAST(x.y AS STRING)), ', ') AS text FROM {customer} JOIN {orders} ON o_custkey = c_custkey GROUP BY 1")
     return pages.select("page", X.page_period(F.col("text")).alias("period"))
 
 
@@ -393,10 +400,20 @@ def failed_cell_status(spark, d):
 SELECT name, status, count(*) AS n FROM (
   SELECT 'header' AS name, 'pass' AS status FROM tt UNION ALL SELECT 'unreadable', 'pass' FROM tt UNION ALL SELECT 'bounds', 'pass' FROM tt
   UNION ALL SELECT 'column_total', CASE WHEN page % 5 = 0 AND col = '1995' THEN 'fail' ELSE 'pass' END FROM cells WHERE row = 'Total'
-  UNION ALL SELECT 'row_total', CASE WHEN page % 5 = 0 AND row = 'Total' THEN 'fail' ELSE 'pass' END FROM cells WHERE col = 'Total') GROUP BY 1, 2
+  UNION ALL SELECT 'row_total', CASE WHEN page % 5 = 0 AND row = 'Total' THEN 'fail' ELSE 'pass' END FROM cells WHERE col = 'Total'
+  UNION ALL SELECT 'year_jump', 'warn' FROM jumps WHERE j = 1 UNION ALL SELECT 'year_jump', 'pass' FROM jumps GROUP BY page HAVING max(j) = 0) GROUP BY 1, 2
 """)
 def check_counts(spark, d):
-    return _orders(spark, d).checks.filter("name <> 'year_jump'").groupBy("name", "status").agg(F.count("*").alias("n"))
+    return _orders(spark, d).checks.groupBy("name", "status").agg(F.count("*").alias("n"))
+
+
+@query(_CROSS + """
+SELECT CAST(t.page AS BIGINT) AS page, 2 + (SELECT count(*) FROM cells c WHERE c.page = t.page AND c.row = 'Total') + (SELECT count(*) FROM cells c WHERE c.page = t.page AND c.col = 'Total') - CASE WHEN t.page % 5 = 0 THEN 2 ELSE 0 END
+  + 1 + (SELECT CASE WHEN max(j) = 0 THEN 1 ELSE 0 END FROM jumps s WHERE s.page = t.page) AS n_pass, CASE WHEN t.page % 5 = 0 THEN 2 ELSE 0 END AS n_fail,
+  CAST((SELECT sum(j) FROM jumps s WHERE s.page = t.page) AS BIGINT) AS n_warn, 0 AS n_skip FROM tt t
+""")
+def status_by_table(spark, d):
+    return checks.status_counts(_orders(spark, d).checks, ["page"]).select(F.col("page").cast("long").alias("page"), "n_pass", "n_fail", "n_warn", "n_skip")
 
 
 @query(_LONG + "SELECT 'dataflow' AS STRUCTURE, 'GRIDMILL:DF_OBS(1.0)' AS STRUCTURE_ID, 'I' AS ACTION, COMPOSITE_BREAKDOWN, TIME_PERIOD, OBS_VALUE, OBS_STATUS, 'text' AS EXTRACTION_METHOD, 'orders.pdf' AS SOURCE FROM long")
@@ -495,6 +512,61 @@ def dataset_gate(spark, d):
     return select.dataset_gate(I.sql(spark, d, "SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'U' ELSE 'A' END AS OBS_STATUS FROM {orders}"))
 
 
+# ---------------------------------------------------------------- the whole path
+
+def _run(spark, d):
+    pages = I.captioned_pages(spark, d)
+    files = spark.sql("SELECT 'orders' AS doc, 'orders.pdf' AS source")
+    return cascade.run(I.two_readings(spark, d), pages, I.vocabulary(spark), files, options=WIDE)
+
+
+_CASCADE = _CROSS.replace(" * 1.5", " * 1.0") + """,
+path AS (SELECT page // 5 AS page, page % 5 AS n, 'Montant des commandes, zone ' || chr(CAST(65 + page AS INTEGER)) || ' en 2010' AS caption, row, col, v, CASE WHEN page // 5 = 1 OR (page % 10 = 0 AND row = 'Total') THEN 'ml' ELSE 'text' END AS method FROM cells),
+obs AS (SELECT *, CASE WHEN row = 'Total' THEN '_T' ELSE 'P' || row[1] END AS breakdown, CASE WHEN row = 'Total' THEN '' ELSE row END AS label, CASE WHEN col = 'Total' THEN '2010' ELSE col END AS period FROM path)
+"""
+
+
+@query(_CASCADE + """
+SELECT CAST(page AS BIGINT) AS page, CASE WHEN page = 1 THEN 4 - n ELSE n END AS table_no, 'Tableau ' || (CASE WHEN page = 1 THEN 4 - n ELSE n END + 1) || ': Montant des commandes, zone ' || chr(CAST(65 + 5 * page + CASE WHEN page = 1 THEN 4 - n ELSE n END AS INTEGER)) || ' en 2010' AS TABLE_TITLE,
+  'MNT' AS INDICATOR, breakdown AS COMPOSITE_BREAKDOWN, period AS TIME_PERIOD, v AS OBS_VALUE, 'USD' AS UNIT_MEASURE, 'A' AS OBS_STATUS, method AS EXTRACTION_METHOD, 'orders.pdf' AS SOURCE FROM obs
+WHERE CASE WHEN page = 1 THEN 4 - n ELSE n END = 0
+""")
+def cascade_first_tables(spark, d):
+    """Observations of the first table of each page, the one that is repaired; the caption's own line names the unit there."""
+    long = _run(spark, d).long.filter("table_no = 0")
+    return long.select(F.col("page").cast("long").alias("page"), F.col("table_no").cast("long").alias("table_no"), "TABLE_TITLE", "INDICATOR", "COMPOSITE_BREAKDOWN", "TIME_PERIOD", "OBS_VALUE", "UNIT_MEASURE", "OBS_STATUS", "EXTRACTION_METHOD", "SOURCE")
+
+
+@query(_CASCADE + "SELECT CAST(page AS BIGINT) AS page, EXTRACTION_METHOD, count(*) AS n, CAST(sum(CAST(v AS DECIMAL(28,2))) AS DOUBLE) AS total FROM (SELECT page, method AS EXTRACTION_METHOD, v FROM obs) GROUP BY ALL")
+def cascade_observations(spark, d):
+    got = _run(spark, d).long
+    return got.groupBy(F.col("page").cast("long").alias("page"), "EXTRACTION_METHOD").agg(F.count("*").alias("n"), F.sum(F.col("OBS_VALUE").cast("decimal(28,2)")).cast("double").alias("total"))
+
+
+@query(_CASCADE + """,
+w AS (SELECT CASE WHEN page = 1 THEN page * 5 + 4 - n ELSE page * 5 + n END AS caption, CASE WHEN label = '' THEN 'Montant / _T' ELSE 'Montant / ' || label END AS series, period, v, page FROM obs),
+s AS (SELECT *, lag(v) OVER (PARTITION BY caption, series ORDER BY period) AS b FROM w)
+SELECT 'period_jump' AS name, CAST(NULL AS BIGINT) AS page, series AS row, period AS "column" FROM s WHERE b > 0 AND v > 0 AND (v > b * 5 OR b > v * 5)
+UNION ALL SELECT 'year_jump', CAST(page // 5 AS BIGINT), row, col FROM jumps WHERE j = 1
+""")
+def cascade_review(spark, d):
+    """What a person has to look at after the whole path: jumps between years of a table and between periods of a series."""
+    return _run(spark, d).review.select("name", F.col("page").cast("long").alias("page"), F.regexp_replace("row", "^Niger / ", "").alias("row"), "column")
+
+
+@query("SELECT CAST(p AS BIGINT) AS page, CASE WHEN p = 1 THEN 'ml' ELSE 'text' END AS stage, 5 AS n_tables, CASE WHEN p % 2 = 0 THEN 1 ELSE 0 END AS has_failures FROM (SELECT unnest(range(5)) AS p)")
+def cascade_winners(spark, d):
+    got = cascade.resolve(I.two_readings(spark, d), I.captioned_pages(spark, d), WIDE).winners
+    return got.select(F.col("page").cast("long").alias("page"), "stage", F.col("n_tables").cast("int").alias("n_tables"), (F.col("failures") > 0).cast("int").alias("has_failures"))
+
+
+@query("SELECT CAST(p AS BIGINT) AS page, CAST(i AS BIGINT) AS table_no, 'Tableau ' || (i + 1) || ': Montant des commandes, zone ' || chr(CAST(65 + 5 * p + i AS INTEGER)) || ' en 2010' AS title, '2010' AS period FROM (SELECT unnest(range(5)) AS p) CROSS JOIN (SELECT unnest(range(5)) AS i)")
+def caption_pairs(spark, d):
+    tables_ = I.order_grids(spark, d).select("doc", F.floor(F.col("page") / 5).cast("int").alias("page"), "stage", (F.col("page") % 5).alias("table_no"))
+    got = cascade.captioned(tables_, I.captioned_pages(spark, d))
+    return got.select(F.col("page").cast("long").alias("page"), F.col("table_no").cast("long").alias("table_no"), "title", "period")
+
+
 # ---------------------------------------------------------------- code lists and figures
 
 
@@ -522,26 +594,32 @@ def unknown_codes(spark, d):
 
 @query(_LONG + """
 SELECT (SELECT count(DISTINCT page) FROM long) AS n_tables, (SELECT count(DISTINCT page) FROM long) AS n_pages, (SELECT count(*) FROM long) AS n_observations, 1.0::DOUBLE AS identified_share,
-  (SELECT count(*) FROM long WHERE COMPOSITE_BREAKDOWN = '_T') AS n_totals, (SELECT count(*) FROM cells WHERE page % 5 = 0 AND row = 'Total' AND col IN ('1995', 'Total')) AS n_review,
-  (SELECT CAST(count(*) AS DOUBLE) FROM cells WHERE row = 'Total' OR col = 'Total') / (SELECT count(*) FROM long) AS covered_share
+  (SELECT count(*) FROM long WHERE COMPOSITE_BREAKDOWN = '_T') AS n_totals, (SELECT count(*) FROM cells WHERE page % 5 = 0 AND row = 'Total' AND col IN ('1995', 'Total')) + (SELECT sum(j) FROM jumps) AS n_review,
+  (SELECT CAST(count(*) AS DOUBLE) FROM (SELECT page, row, col FROM cells WHERE row = 'Total' OR col = 'Total' UNION SELECT page, row, col FROM jumps WHERE j = 1)) / (SELECT count(*) FROM long) AS covered_share
 """)
 def run_figures(spark, d):
     seen = _orders(spark, d)
-    return summary.run_figures(seen.long, seen.checks.filter("name <> 'year_jump'"))
+    return summary.run_figures(seen.long, seen.checks).withColumn("n_review", F.col("n_review").cast("decimal(38,0)"))
 
 
-@query(_CROSS + "SELECT CAST(page AS BIGINT) AS page, CASE WHEN col = 'Total' THEN 'row_total' ELSE 'column_total' END AS name, 'fail' AS status, row, col AS \"column\" FROM cells WHERE page % 5 = 0 AND row = 'Total' AND col IN ('1995', 'Total')")
+@query(_CROSS + """
+SELECT CAST(page AS BIGINT) AS page, CASE WHEN col = 'Total' THEN 'row_total' ELSE 'column_total' END AS name, 'fail' AS status, row, col AS "column" FROM cells WHERE page % 5 = 0 AND row = 'Total' AND col IN ('1995', 'Total')
+UNION ALL SELECT CAST(page AS BIGINT), 'year_jump', 'warn', row, col FROM jumps WHERE j = 1
+UNION ALL SELECT NULL, 'period_jump', 'warn', 'N' || n || ' / Montant', t FROM (SELECT *, lag(v) OVER (PARTITION BY n ORDER BY t) AS b FROM (SELECT c_nationkey AS n, year(o_orderdate) || '-Q' || quarter(o_orderdate) AS t,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) * CASE WHEN quarter(o_orderdate) = 2 AND c_nationkey % 3 = 0 THEN 50 ELSE 1 END AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_nationkey, year(o_orderdate), quarter(o_orderdate)))
+  WHERE n <> 6 AND b > 0 AND v > 0 AND (v > b * 5 OR b > v * 5)
+""")
 def review_list(spark, d):
-    seen = _orders(spark, d)
-    none = seen.checks.limit(0)
-    return summary.review_list(seen.checks.filter("name <> 'year_jump'"), none).select(F.col("page").cast("long").alias("page"), "name", "status", "row", "column")
+    got = summary.review_list(_orders(spark, d).checks, checks.period_jump_check(_quarters(spark, d)))
+    return got.select(F.col("page").cast("long").alias("page"), "name", "status", "row", "column")
 
 
-@query("SELECT CAST(year(o_orderdate) AS BIGINT) AS page, count(*) AS n, count(*) FILTER (year(o_orderdate) = 1996) AS n_titled FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY 1")
+@query("SELECT CAST(year(o_orderdate) AS BIGINT) AS page, count(*) AS n, count(*) FILTER (year(o_orderdate) % 2 = 0) AS n_titled FROM orders GROUP BY 1")
 def combine_pages(spark, d):
-    one = I.sql(spark, d, "SELECT o_orderkey, 1995 AS PAGE FROM {orders} WHERE year(o_orderdate) = 1995")
-    two = I.sql(spark, d, "SELECT o_orderkey, 1996 AS PAGE, 'Tableau' AS TABLE_TITLE FROM {orders} WHERE year(o_orderdate) = 1996")
-    return select.union_all([one, two]).groupBy(F.col("PAGE").cast("long").alias("page")).agg(F.count("*").alias("n"), F.count("TABLE_TITLE").alias("n_titled"))
+    titled, bare = "'Tableau' AS TABLE_TITLE, ", ""
+    years = [r["y"] for r in I.sql(spark, d, "SELECT DISTINCT year(o_orderdate) AS y FROM {orders}").collect()]
+    each = [I.sql(spark, d, f"SELECT o_orderkey, {bare if y % 2 else titled}{y} AS PAGE FROM {{orders}} WHERE year(o_orderdate) = {y}") for y in years]
+    return select.union_all(each).groupBy(F.col("PAGE").cast("long").alias("page")).agg(F.count("*").alias("n"), F.count("TABLE_TITLE").alias("n_titled"))
 
 
 # ---------------------------------------------------------------- audit, truth, worklist
@@ -571,12 +649,22 @@ def audit_summary(spark, d):
     return audit.audit_summary(*_audited(spark, d))
 
 
-@query(_CROSS + "SELECT count(*) AS n_cells, count(*) FILTER (col <> '1997') AS n_hits, CAST(count(*) FILTER (col <> '1997') AS DOUBLE) / count(*) AS share FROM cells WHERE page = 1")
+def _truths(spark, d):
+    """Typed truth of every printed table: labels are parts of the printed ones, and one column is typed wrong."""
+    cells = _cells(spark, d)
+    label = F.lower(F.when(F.col("row_label") == "Total", "total").otherwise(F.substring("row_label", 1, 4)))
+    truth = cells.select("doc", "page", label.alias("row"), F.col("col_name").alias("column"), (F.col("value") + F.when(F.col("col_name") == "1997", 100.0).otherwise(0.25)).alias("value"))
+    return audit.truth_scores(truth, cells, ["doc", "page"])
+
+
+@query(_CROSS + "SELECT CAST(page AS BIGINT) AS page, count(*) AS n_cells, count(*) FILTER (col <> '1997') AS n_hits, CAST(count(*) FILTER (col <> '1997') AS DOUBLE) / count(*) AS share FROM cells GROUP BY page")
 def truth_score(spark, d):
-    """Labels of the truth are parts of the printed ones; one column is typed wrong."""
-    cells = _cells(spark, d).filter("page = 1")
-    truth = cells.select(F.lower(F.when(F.col("row_label") == "Total", "total").otherwise(F.substring("row_label", 1, 4))).alias("row"), F.col("col_name").alias("column"), (F.col("value") + F.when(F.col("col_name") == "1997", 100.0).otherwise(0.25)).alias("value"))
-    return audit.truth_score(truth, cells)
+    return _truths(spark, d).select(F.col("page").cast("long").alias("page"), "n_cells", "n_hits", "share")
+
+
+@query(_CROSS + "SELECT count(*) AS n_cells, count(*) FILTER (col <> '1997') AS n_hits, CAST(count(*) FILTER (col <> '1997') AS DOUBLE) / count(*) AS share FROM cells")
+def truth_metrics(spark, d):
+    return audit.metrics(_truths(spark, d))
 
 
 _COUNTS = "SELECT 'EVENT' AS dimension, event_type AS label, count(*) AS n FROM {events} GROUP BY 2 UNION ALL SELECT 'TYPE', p_type, count(*) FROM {part} GROUP BY 2"
@@ -652,3 +740,19 @@ def incremental_refresh(spark, d):
         if k:
             got = refresh(spark, f"{at}/in", schema, work, f"{at}/out", f"{at}/seen")
     return got.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").cast("double").alias("total"))
+
+
+@query(_LONG + "SELECT OBS_STATUS, count(*) AS n, CAST(sum(CAST(OBS_VALUE AS DECIMAL(28,2))) AS DOUBLE) AS total, 0 AS n_jumps FROM long GROUP BY 1")
+def incremental_observations(spark, d):
+    """Printed tables come in three files; a stream takes what is new at each of two calls, then looks for jumps in all that has come."""
+    from gridmill.shared import fresh
+    from gridmill.streaming.refresh import refresh_observations
+
+    at = fresh(spark, "refresh")
+    grids = cut(I.order_grids(spark, d), "grids")
+    for k in range(3):
+        grids.filter(F.pmod("page", F.lit(3)) == k).write.mode("append").parquet(f"{at}/in")
+        if k:
+            long, jumps = refresh_observations(spark, f"{at}/in", grids.schema, I.order_context, I.vocabulary(spark), f"{at}/out", f"{at}/seen", options=WIDE)
+    n = jumps.agg(F.count("*").cast("int").alias("n_jumps"))
+    return long.groupBy("OBS_STATUS").agg(F.count("*").alias("n"), F.sum(F.col("OBS_VALUE").cast("decimal(28,2)")).cast("double").alias("total")).crossJoin(n)

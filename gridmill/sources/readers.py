@@ -73,8 +73,12 @@ def markdown_grid(text: Column) -> Column:
     return F.transform(lines, lambda s: F.transform(F.split(F.regexp_replace(s, r"^\|+|\|+$", ""), r"\|", -1), lambda c: F.trim(c)))
 
 
+#: The longest spans that the HTML standard allows; longer ones count as so long. Fixed values.
+COLSPAN, ROWSPAN = 1000, 65534
+
+
 class _Table(HTMLParser):
-    """The first table of a text, row by row; spans are repeated."""
+    """The first table of a text, row by row; spans are repeated, up to the standard's COLSPAN and ROWSPAN."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -120,10 +124,10 @@ class _Table(HTMLParser):
         if self.cell is None:
             return
         text, (high, wide), self.cell = " ".join("".join(self.cell).split()), self.span, None
-        for _ in range(min(wide, 1000)):
+        for _ in range(min(wide, COLSPAN)):
             at = len(self.rows[-1])
             self.rows[-1].append(text)
-            for k in range(1, min(high, 1000)):
+            for k in range(1, min(high, ROWSPAN)):
                 self.down[(len(self.rows) - 1 + k, at)] = text
         self._fill()
 
@@ -163,8 +167,18 @@ def ocr_grids(rows: DataFrame, json: str = "json") -> DataFrame:
     return html_tables(blocks, "content").unionByName(marked).filter("size(cells) > 0").drop("content")
 
 
-def pdf_grids(spark: SparkSession, path: str) -> DataFrame:
-    """Grids of PDF files by pdfplumber, where it is installed: ruled lines first, then white space, a page at a time."""
+def page_texts(spark: SparkSession, path: str) -> DataFrame:
+    """doc, page (from 1), text of text files whose pages end with form feeds, as text extractors of PDF write them."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.split(F.regexp_replace("value", "\f$", ""), "\f", -1).alias("p"))
+    return files.select("doc", F.posexplode("p").alias("page", "text")).select("doc", (F.col("page") + 1).alias("page"), "text")
+
+
+def _pdf_pages(spark: SparkSession, path: str, work, schema: str) -> DataFrame:
+    """Rows that `work` makes of each page of PDF files by pdfplumber, where it is installed.
+
+    A file is opened by the task that holds it; pages go one at a time, and a page (or file) that can't
+    be read gives what `work` makes of None and the error, so that no page stops the others.
+    """
     import pdfplumber  # noqa: F401  # fails here, on the driver, where it is missing
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,14 +188,43 @@ def pdf_grids(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                with reader.open(io.BytesIO(data)) as pdf:
+                try:
+                    pdf = reader.open(io.BytesIO(data))
+                except Exception as e:  # noqa: BLE001  # whatever a broken file raises
+                    yield work(name, 0, None, str(e)[:200])
+                    continue
+                with pdf:
                     for number, page in enumerate(pdf.pages, 1):
-                        out = []
-                        for how in ("lines", "text"):
-                            found = page.extract_tables({"vertical_strategy": how, "horizontal_strategy": how})
-                            out = [t for t in found if len(t) >= 2 and len(t[0]) >= 2]
-                            if out:
-                                break
-                        yield pd.DataFrame([(name, number, "text", 0, i, t, {}) for i, t in enumerate(out)], columns=["doc", "page", "stage", "stage_rank", "table_no", "cells", "report"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, GRIDS)
+                        try:
+                            out = work(name, number, page, "")
+                        except Exception as e:  # noqa: BLE001
+                            out = work(name, number, None, str(e)[:200])
+                        yield out
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def pdf_grids(spark: SparkSession, path: str) -> DataFrame:
+    """Grids of PDF files: ruled lines first, then white space. A page that can't be read has one row without cells and its error in the report."""
+
+    def work(name: str, number: int, page, error: str) -> pd.DataFrame:
+        columns = ["doc", "page", "stage", "stage_rank", "table_no", "cells", "report"]
+        if page is None:
+            return pd.DataFrame([(name, number, "text", 0, 0, None, {"error": error})], columns=columns)
+        out = []
+        for how in ("lines", "text"):
+            out = [t for t in page.extract_tables({"vertical_strategy": how, "horizontal_strategy": how}) if len(t) >= 2 and len(t[0]) >= 2]
+            if out:
+                break
+        return pd.DataFrame([(name, number, "text", 0, i, t, {}) for i, t in enumerate(out)], columns=columns)
+
+    return _pdf_pages(spark, path, work, GRIDS)
+
+
+def pdf_texts(spark: SparkSession, path: str) -> DataFrame:
+    """doc, page, text of PDF files; a page that can't be read has an empty text."""
+
+    def work(name: str, number: int, page, error: str) -> pd.DataFrame:
+        return pd.DataFrame([(name, number, "" if page is None else page.extract_text() or "")], columns=["doc", "page", "text"])
+
+    return _pdf_pages(spark, path, work, PAGES)

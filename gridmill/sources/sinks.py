@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
+from collections.abc import Sequence
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.operators.select import require_dataset
+from gridmill.operators.tables import KEY
 from gridmill.options import DEFAULT, Options
+from gridmill.shared import fresh
 
 DIMENSIONS = ("FREQ", "REF_AREA", "INDICATOR", "COMPOSITE_BREAKDOWN", "TIME_PERIOD")
 MEASURE = "OBS_VALUE"
@@ -21,14 +26,91 @@ def sdmx_csv(long: DataFrame, options: Options = DEFAULT) -> DataFrame:
     return long.select(F.lit("dataflow").alias("STRUCTURE"), F.lit(flow).alias("STRUCTURE_ID"), F.lit("I").alias("ACTION"), *DIMENSIONS, MEASURE, *ATTRIBUTES)
 
 
-def write_csv(frame: DataFrame, path: str, bom: bool = False) -> None:
-    """CSV with header and empty nulls; with `bom` each file begins with a byte order mark, for spreadsheets."""
-    if bom:
-        first = frame.columns[0]
-        frame = frame.withColumnRenamed(first, "﻿" + first)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's path and file system of a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def one_file(spark: SparkSession, folder: str, path: str, head: bytes = b"", foot: bytes = b"") -> None:
+    """The part files of a folder, in order, as one file between head and foot; it is renamed into place when complete.
+
+    The driver copies streams and holds a buffer only; the folder goes.
+    """
+    at, files = _files(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}-{uuid.uuid4().hex}")
+    out = files.create(beside)
+    out.write(head)
+    source, held = _files(spark, folder)
+    parts = sorted(str(s.getPath()) for s in held.listStatus(source) if s.getPath().getName().startswith("part-"))
+    for part in parts:
+        stream = held.open(spark._jvm.org.apache.hadoop.fs.Path(part))
+        spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+        stream.close()
+    out.write(foot)
+    out.close()
+    replace_file(spark, str(beside), path)
+    held.delete(source, True)
+
+
+def replace_file(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file over another one in one step."""
+    java = spark._jvm
+    options = java.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    context = java.org.apache.hadoop.fs.FileContext.getFileContext(java.org.apache.hadoop.fs.Path(target).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(java.org.apache.hadoop.fs.Path(source), java.org.apache.hadoop.fs.Path(target), over)
+
+
+def csv_line(columns: list[Column]) -> Column:
+    """Texts as a line of CSV; what holds a comma, quote or line break is quoted, nulls are empty."""
+
+    def field(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return F.concat_ws(",", *[field(c) for c in columns])
+
+
+def write_csv(frame: DataFrame, path: str) -> None:
+    """A folder of CSV files with headers, null as empty, lines ended by a line feed."""
     frame.write.mode("overwrite").option("header", True).option("emptyValue", "").option("lineSep", "\n").csv(path)
 
 
+def write_csv_file(frame: DataFrame, path: str, bom: bool = False) -> None:
+    """One CSV file with one header; with `bom` it begins with a byte order mark, for spreadsheets."""
+    spark = frame.sparkSession
+    folder = fresh(spark, "csv")
+    frame.select(csv_line([F.col(f"`{c}`") for c in frame.columns]).alias("value")).write.option("lineSep", "\n").text(folder)
+    head = ",".join('"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n') else c for c in frame.columns)
+    one_file(spark, folder, path, ("\ufeff" if bom else "").encode() + f"{head}\n".encode())
+
+
+def write_tables(framed: DataFrame, path: str, key: Sequence[str] = KEY) -> None:
+    """Each table as printed, in a CSV of its own below a folder named by its key; a table is one row, so one task writes it whole."""
+    head = csv_line_of(F.concat(F.array("label_name"), "names"))
+    body = F.transform(F.arrays_zip("labels", "body"), lambda r: csv_line_of(F.concat(F.array(r["labels"]), r["body"])))
+    framed.select(*key, F.array_join(F.concat(F.array(head), body), "\n").alias("value")).write.mode("overwrite").partitionBy(*key).option("lineSep", "\n").text(path)
+
+
+def csv_line_of(cells: Column) -> Column:
+    """As csv_line, for the texts of an array."""
+
+    def field(text: Column) -> Column:
+        return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    return F.array_join(F.transform(cells, lambda c: field(F.coalesce(c, F.lit("")))), ",")
+
+
+def write_metrics(frame: DataFrame, path: str) -> None:
+    """Metrics, audits or worklists as JSON lines, one file: they are a row for each table or label, not for each cell."""
+    spark = frame.sparkSession
+    folder = fresh(spark, "json")
+    frame.select(F.to_json(F.struct(*frame.columns)).alias("value")).write.option("lineSep", "\n").text(folder)
+    one_file(spark, folder, path)
+
+
 def escaped(text: Column) -> Column:
     out = text
     for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -51,9 +133,13 @@ def sdmx_ml_observation(long: DataFrame) -> Column:
     return F.concat(F.lit("<generic:Obs><generic:ObsKey>"), *map(pair, DIMENSIONS), F.lit("</generic:ObsKey>"), value, F.lit("<generic:Attributes>"), *map(pair, ATTRIBUTES), F.lit("</generic:Attributes></generic:Obs>"))
 
 
-def write_sdmx_ml(long: DataFrame, path: str) -> None:
-    """Fragments as text files; `data_message` gives header and footer to put around them."""
-    long.select(sdmx_ml_observation(long).alias("value")).write.mode("overwrite").text(path)
+def write_sdmx_ml(long: DataFrame, path: str, prepared: str, options: Options = DEFAULT) -> None:
+    """A whole generic data message in one file: executors write the observations, the driver puts header and end around them."""
+    spark = long.sparkSession
+    folder = fresh(spark, "sdmx")
+    long.select(sdmx_ml_observation(long).alias("value")).write.option("lineSep", "\n").text(folder)
+    head, foot = data_message(prepared, options)
+    one_file(spark, folder, path, head.encode(), foot.encode())
 
 
 def data_message(prepared: str, options: Options = DEFAULT) -> tuple[str, str]:
@@ -100,8 +186,55 @@ def structure_message(code_lists: dict[str, list[tuple[str, str]]], prepared: st
     )
 
 
-def write_refresh(long: DataFrame, review: DataFrame, path: str, data_date: str, options: Options = DEFAULT) -> None:
-    """Observations and review list, written only if the data set passes its gate; before, the old ones stay."""
+def write_refresh(long: DataFrame, review: DataFrame, path: str, data_date: str, options: Options = DEFAULT) -> str:
+    """Observations and review list as a new snapshot below `path`, written only if the data set passes its gate.
+
+    The file CURRENT names the snapshot that counts and is replaced in one step when both outputs are
+    complete, so a reader never sees one without the other, and a failure leaves the last snapshot
+    standing. The snapshot before the last is deleted. Returns the new one's path.
+    """
     require_dataset(long, options)
-    write_csv(long.withColumn("DATA_DATE", F.lit(data_date)), f"{path}/observations")
-    write_csv(review, f"{path}/to_review", bom=True)
+    spark = long.sparkSession
+    old = current(spark, path)
+    name = f"snapshot-{uuid.uuid4().hex}"
+    write_csv(long.withColumn("DATA_DATE", F.lit(data_date)), f"{path}/{name}/observations")
+    write_csv_file(review, f"{path}/{name}/to_review.csv", bom=True)
+    beside, files = _files(spark, f"{path}/.CURRENT-{name}")
+    out = files.create(beside)
+    out.write(name.encode())
+    out.close()
+    replace_file(spark, str(beside), f"{path}/CURRENT")
+    home, _ = _files(spark, path)
+    for s in files.listStatus(home):
+        at = s.getPath()
+        if at.getName().startswith("snapshot-") and at.getName() != name and not (old or "").endswith(at.getName()):
+            files.delete(at, True)
+    return f"{path}/{name}"
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The snapshot below `path` that counts; none before the first."""
+    at, files = _files(spark, f"{path}/CURRENT")
+    if not files.exists(at):
+        return None
+    return f"{path}/" + spark.read.text(f"{path}/CURRENT", wholetext=True).first()[0].strip()
+
+
+def write_bundle(long: DataFrame, review: DataFrame, code_lists: dict[str, list[tuple[str, str]]], folder: str, prepared: str, options: Options = DEFAULT) -> str:
+    """Five files for people, each loose and together in a zip: SDMX-CSV, the data and structure messages, the long table, the review list.
+
+    `folder` must be a folder of this machine that the executors share; the zip is written by streams.
+    """
+    spark = long.sparkSession
+    names = {"observations_sdmx.csv": lambda p: write_csv_file(sdmx_csv(long, options), p), "data.xml": lambda p: write_sdmx_ml(long, p, prepared, options), "observations.csv": lambda p: write_csv_file(long, p, bom=True), "to_review.csv": lambda p: write_csv_file(review, p, bom=True)}
+    for name, write in names.items():
+        write(f"{folder}/{name}")
+    at, files = _files(spark, f"{folder}/structure.xml")
+    out = files.create(at, True)
+    out.write(structure_message(code_lists, prepared, options).encode())
+    out.close()
+    home = folder.removeprefix("file://")
+    with zipfile.ZipFile(f"{home}/bundle.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for name in (*names, "structure.xml"):
+            z.write(f"{home}/{name}", name)
+    return f"{home}/bundle.zip"

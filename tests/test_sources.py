@@ -39,14 +39,57 @@ def test_messages_are_well_formed_and_in_order():
     assert [e.tag.split("}")[1] for e in root[1]] == ["Dataflows", "Codelists", "Concepts", "DataStructures"]
 
 
-def test_refresh_gate(spark, tmp_path):
-    long = spark.createDataFrame([("U",)] * 12, "OBS_STATUS string")
+def observations(spark, n, status="A"):
+    rows = [("A", "NE", "P<&", "_T", str(2000 + i), float(i), "T", "0", status, str(2000 + i), "text", "f, g.pdf") for i in range(n)]
+    return spark.createDataFrame(rows, ", ".join(f"{c} {'double' if c == 'OBS_VALUE' else 'string'}" for c in (*sinks.DIMENSIONS, sinks.MEASURE, *sinks.ATTRIBUTES))).repartition(3)
+
+
+def test_refresh_is_gated_and_switches_both_outputs_at_once(spark, tmp_path):
+    path, review = f"file://{tmp_path}/out", spark.createDataFrame([("a", 'b "c"')], "name string, detail string")
+    with pytest.raises(select.DatasetRefused):
+        sinks.write_refresh(observations(spark, 12, "U"), review, path, "2024-01-01")
+    assert sinks.current(spark, path) is None
+    first = sinks.write_refresh(observations(spark, 12), review, path, "2024-01-01")
+    assert sinks.current(spark, path) == first
     with pytest.raises(select.DatasetRefused):
-        sinks.write_refresh(long, long, str(tmp_path / "out"), "2024-01-01")
-    assert not (tmp_path / "out").exists()
-    fine = spark.createDataFrame([("A",)] * 12, "OBS_STATUS string")
-    sinks.write_refresh(fine, fine, str(tmp_path / "out"), "2024-01-01")
-    assert (tmp_path / "out" / "observations").exists()
+        sinks.write_refresh(observations(spark, 3), review, path, "2024-02-01")
+    assert sinks.current(spark, path) == first and spark.read.option("header", True).csv(f"{first}/observations").count() == 12
+    second = sinks.write_refresh(observations(spark, 20), review, path, "2024-03-01")
+    assert sinks.current(spark, path) == second and spark.read.option("header", True).csv(f"{second}/observations").count() == 20
+    third = sinks.write_refresh(observations(spark, 21), review, path, "2024-04-01")
+    assert sorted(x.name for x in (tmp_path / "out").iterdir() if x.is_dir()) == sorted(x.rsplit("/", 1)[1] for x in (second, third))
+    text = (tmp_path / "out" / third.rsplit("/", 1)[1] / "to_review.csv").read_bytes()
+    assert text == "\ufeffname,detail\na,\"b \"\"c\"\"\"\n".encode()
+
+
+def test_bundle_of_five_files(spark, tmp_path):
+    import zipfile
+
+    long = observations(spark, 12)
+    z = sinks.write_bundle(long, spark.createDataFrame([("x", "y")], "name string, detail string"), {"FREQ": [("A", "Annual")]}, f"file://{tmp_path}", "2024-01-01")
+    with zipfile.ZipFile(z) as f:
+        assert len(f.namelist()) == 5
+        root = ET.fromstring(f.read("data.xml"))
+        values = sorted(float(v.get("value")) for v in root.iter() if v.tag.endswith("ObsValue"))
+        assert values == [float(i) for i in range(12)]
+        lines = f.read("observations_sdmx.csv").decode().splitlines()
+        assert len(lines) == 13 and lines[0].startswith("STRUCTURE,STRUCTURE_ID,ACTION,FREQ") and sum('"f, g.pdf"' in x for x in lines) == 12
+        assert f.read("observations.csv").startswith(b"\xef\xbb\xbfFREQ")
+
+
+def test_tables_and_metrics_files(spark, tmp_path):
+    framed = spark.createDataFrame([("d", 1, "text", 0, "Pays", ["a", "b,c"], ["x", "y"], [["1", "2"], ["3", None]])], "doc string, page int, stage string, table_no int, label_name string, names array<string>, labels array<string>, body array<array<string>>")
+    sinks.write_tables(framed, f"file://{tmp_path}/t")
+    parts = [p for p in (tmp_path / "t").rglob("part-*") if not p.name.endswith(".crc")]
+    assert [p.read_text() for p in parts] == ['Pays,a,"b,c"\nx,1,2\ny,3,\n']
+    sinks.write_metrics(spark.createDataFrame([(1, 0.5)], "n int, share double"), f"file://{tmp_path}/m.json")
+    assert (tmp_path / "m.json").read_text() == '{"n":1,"share":0.5}\n'
+
+
+def test_page_texts(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("one\ntwo\fthree\f")
+    got = readers.page_texts(spark, str(tmp_path / "a.txt")).collect()
+    assert [(r["doc"], r["page"], r["text"]) for r in got] == [("a.txt", 1, "one\ntwo"), ("a.txt", 2, "three")]
 
 
 def test_stream_reads_a_file_once(spark, tmp_path):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridmill.functions import text as X
 from gridmill.operators import checks, coding, repair, select, tables
-from gridmill.functions.similarity import partial_ratio, ratio, weighted_ratio
+from gridmill.functions.similarity import Shelf, partial_ratio, ratio, weighted_ratio
 from gridmill.options import DEFAULT
 from gridmill.plans.observations import observe
 from gridmill.shared import cut
@@ -156,6 +156,79 @@ def test_similarity():
     assert weighted_ratio("", "a") == 0 and weighted_ratio("fuzzy wuzzy was a bear", "wuzzy fuzzy was a bear") == 95
 
 
+def by_definition(a, b):
+    """The weighted ratio from its published definition, with the textbook table of common subsequences."""
+
+    def lcs(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            out = [0]
+            for j, d in enumerate(y):
+                out.append(row[j] + 1 if c == d else max(row[j + 1], out[j]))
+            row = out
+        return row[-1]
+
+    def plain(x, y):
+        return 100.0 if not x and not y else 200.0 * lcs(x, y) / (len(x) + len(y))
+
+    def stretch(x, y):
+        x, y = sorted((x, y), key=len)
+        if not x:
+            return 0.0
+        return max(plain(x, y[max(0, i) : i + len(x)]) for i in range(1 - len(x), len(y)))
+
+    def tokens(x, y, f):
+        p, q = set(x.split()), set(y.split())
+        both, mine, other = sorted(p & q), sorted(p - q), sorted(q - p)
+        found = [f(" ".join(sorted(x.split())), " ".join(sorted(y.split())))]
+        if both and not (mine and other):
+            found.append(100.0)
+        joined = [" ".join(both), " ".join(both + mine), " ".join(both + other)]
+        found.append(f(joined[1], joined[2]))
+        if both:
+            found += [f(joined[0], joined[1]), f(joined[0], joined[2])]
+        return max(found)
+
+    a, b = ("".join(c if c.isalnum() else " " for c in x).lower().strip() for x in (a, b))
+    if not a or not b:
+        return 0.0
+    spread = max(len(a), len(b)) / min(len(a), len(b))
+    if spread < 1.5:
+        return max(plain(a, b), 0.95 * tokens(a, b, plain))
+    scale = 0.9 if spread < 8 else 0.6
+    return max(plain(a, b), scale * stretch(a, b), 0.95 * scale * tokens(a, b, stretch))
+
+
+def test_fuzzy_codes_equal_all_pairs(spark):
+    rng = random.Random(9)
+    words = ["mil", "sorgho", "production", "superficie", "riz", "irrigué", "pluvial", "total", "niébé", "rendement", "rend", "prod"]
+    entries = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(60)})
+
+    def typo(text):
+        t = list(text)
+        for _ in range(rng.randint(0, 3)):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice([[], [rng.choice("aeioxy ")], [t[i], t[i]]])
+            t = t or ["a"]
+        return "".join(t)
+
+    labels = sorted({typo(rng.choice(entries)) for _ in range(150)} | {"", "x", "  ", "prod prod prod", "total de production de sorgho pluvial et irrigué et superficie"})
+    for threshold in (88.0, 80.0, 60.0):
+        shelf = Shelf([(e,) for e in entries])
+        for text in labels:
+            scores = [by_definition(text, e) for e in entries]
+            top = max(scores)
+            want = None if top < threshold else (top, (entries[scores.index(top)],))
+            got = shelf.best(text, threshold)
+            assert (got is None) == (want is None) and (got is None or (abs(got[0] - want[0]) < 1e-9 and got[1] == want[1])), text
+    vocab = spark.createDataFrame([(e, f"C{i}", "INDICATOR", "", "", i) for i, e in enumerate(entries)], "label string, code string, dimension string, unit string, note string, ord int")
+    got = {r["label"]: (r["code"], r["score"]) for r in coding.fuzzy_codes(spark.createDataFrame([(t, "INDICATOR") for t in labels], "label string, dimension string"), vocab).collect()}
+    for text in labels:
+        scores = [by_definition(text, e) for e in entries]
+        want = (None, None) if max(scores) < 88 else (f"C{scores.index(max(scores))}", max(scores))
+        assert got[text][0] == want[0] and (want[1] is None or abs(got[text][1] - want[1]) < 1e-9), text
+
+
 def test_whole_plan(spark):
     g = grids(spark, GRID, changed(3, 1, "9 000"))
     context = g.select("doc", "page", "stage", "table_no", F.lit("Tableau 1: Mil").alias("title"), F.lit("").alias("unit"), F.lit("UNKNOWN").alias("subject"), F.lit("2023").alias("period"), F.lit("f.pdf").alias("source"))
