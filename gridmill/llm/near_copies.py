@@ -275,7 +275,9 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     """id, name (hash of the row's words), component_id (least id of the group), a row for each row of docs.
 
     Texts with the same words in the same order, letter case aside, are one text; null and blank texts
-    are one group. Null ids are passed over as least id; a group of null ids alone has null.
+    are one group. Null ids are passed over as least id; a group of null ids alone has null. Ids must
+    be whole numbers. Repeated rows are in one group; an empty table gives no rows; whole texts count,
+    however long; other columns don't matter.
     """
     rows = cut(descriptions(docs, id_col, text_col, shingle))
     prints = rows.select("a", "b").distinct()
@@ -337,20 +339,34 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The rows of docs without all but one row of each group; columns as they were.
+    """The rows of docs without all but one row of each group; columns as they were, whatever their names.
 
-    The row with the group's least id stays; of several rows with that id, and in a group whose ids
-    are all null, one row with the least hash of its words.
+    The row with the group's least id stays; of several rows with that id, and in a group whose ids are
+    all null, the one whose words have the least hash, then the least text, then the least hash of its
+    other columns. Null and blank texts are one group; rows repeated in full leave one; an empty table
+    stays empty. Texts of any length are compared whole.
     """
     named = groups(docs, similarity, id_col, text_col, shingle)
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("name")))
-    stay = named.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name")).alias("s")).select(F.col("s.id").alias("gm_id"), F.col("s.name").alias("gm_of"))
+    own, of, which = (unused(docs, c) for c in ("gm_name", "gm_of", "gm_id"))
+    stay = named.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name")).alias("s")).select(F.col("s.id").alias(which), F.col("s.name").alias(of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts(batch.column(text_col))], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], schema=batch.schema.append(pa.field("gm_name", pa.int64())))
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("gm_name", T.LongType())]))
-    kept = marked.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("gm_id")) & (F.col("gm_name") == F.col("gm_of")), "left_semi")
-    return kept.dropDuplicates([id_col, "gm_name"]).drop("gm_name")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], schema=batch.schema.append(pa.field(own, pa.int64())))
+
+    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    kept = marked.join(stay, marked[id_col].cast("long").eqNullSafe(stay[which]) & (marked[own] == stay[of]), "left_semi")
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType) and f.name not in (id_col, text_col)]
+    order = F.struct(F.col(f"`{text_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0))
+    first = kept.groupBy(F.col(f"`{id_col}`").alias("k"), F.col(own).alias("w")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
+    return first.select("row.*")
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

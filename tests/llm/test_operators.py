@@ -374,6 +374,18 @@ def test_near_copies(docs, empty, corpus):
     assert near_copies.keep_one(empty).count() == 0
 
 
+def test_one_row_stays_whatever_columns_and_case(spark):
+    a, b = " ".join(f"Word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    rows = [(1, a, 5, "x"), (1, a.upper(), 5, "x"), (1, a, 4, "y"), (1, a, 4, "y"), (2, b, 0, ""), (None, b, 0, ""), (None, None, 1, ""), (None, "", 1, ""), (3, a + " tail", 9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gm_name int, gm_of string").repartition(4)
+    for _ in range(2):
+        got = sorted(map(tuple, near_copies.keep_one(docs).collect()), key=str)
+        assert len(got) == 3 and (2, b, 0, "") in got and [r for r in got if r[0] == 1][0][1] == a.upper() and [r for r in got if r[0] is None][0][1] is None
+        docs = docs.repartition(7)
+    odd = docs.withColumn("m", F.create_map(F.lit("k"), F.col("gm_name")))
+    assert near_copies.keep_one(odd).columns == odd.columns and near_copies.keep_one(odd).count() == 3
+
+
 def block_edits(seed, least, most, pairs):
     """Texts, each followed by a copy with a block replaced or cut off, of shingle similarity from least to below most; their similarities."""
     rng = np.random.default_rng(seed)
