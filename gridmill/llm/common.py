@@ -169,34 +169,41 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- components in Spark
 
 
+#: Edges for which one more partition is opened; without this, rounds over few edges write files for every shuffle partition.
+PART_EDGES = 50_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): node, root (the component's smallest node).
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014) on DataFrames: each is an
     aggregation with map-side combine and a join that skew splitting covers. Every round is cut by
-    a checkpoint, so a lost executor costs one round at most. Nodes without edges are not returned.
+    a checkpoint, so a lost executor costs one round at most. What rounds pass on is put together into
+    partitions by the number of edges. Nodes without edges are not returned.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, parts: int) -> DataFrame:
         if large:
             both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = e
         # dealt anew, so that the join has exchanges of its own on both sides and a hub's edges can be split
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).repartition(F.xxhash64("a"))
-        out = both.join(least, "a")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(parts).repartition(F.xxhash64("a"))
+        out = both.join(least, "a").coalesce(parts)
         if large:
-            return out.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            return out.filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         linked = out.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        own = least.filter("m <> a").select("a", F.col("m").alias("b"))
-        return linked.union(own).distinct()
+        own = least.coalesce(parts).filter("m <> a").select("a", F.col("m").alias("b"))
+        return linked.union(own).distinct().coalesce(parts)
 
-    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = cut(e), None
+    found = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e, before = cut(found), None
+    parts = max(8, e.count() // PART_EDGES)
+    e = e.coalesce(parts)
     for _ in range(rounds):
-        e = cut(star(star(e, True), False))
+        e = cut(star(star(e, True, parts), False, parts))
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct().coalesce(parts))
         before = now
     raise RuntimeError(f"components: no fixed point after {rounds} rounds")
