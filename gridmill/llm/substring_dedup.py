@@ -15,9 +15,11 @@ words are covered therefore lies in those 15 words. So windows that occur twice
 2. Windows around such chains are named by 96 bits of all their words and counted the same way.
 3. Windows found twice mark the words to remove.
 
-Documents are dealt once to groups by a hash of the row; a group sends each name twice at most,
-so a passage in a third of all documents comes to a bucket once or twice a group. Buckets and
-groups grow in number, not in size.
+Documents are dealt once to groups by their place in the input, so rows repeated with one id and text
+spread like any others. A group sends each name twice at most, so a passage in a third of all
+documents comes to a bucket once or twice a group. A blob holds what one group sends to one bucket:
+to keep blobs large, groups and buckets grow in size with the input (up to `MOST_BYTES`) before they
+grow in number; at a terabyte some 16,000 of either give blobs of a few kilobytes.
 """
 
 from __future__ import annotations
@@ -33,8 +35,9 @@ from gridmill.llm.common import U64, join2, mix, slices, split_words, text_bytes
 WINDOW = 35
 CHAIN = 8
 CAPS = (4, 8)
-#: Bytes of scanned table for which one more group of documents, or bucket of names, is opened.
-GROUP_BYTES, BUCKET_BYTES = 1_500_000, 6_000_000
+#: Bytes of scanned table for which one more group of documents, or bucket of names, is opened in a small input; in a large one a PARTS-th of it, MOST_BYTES at most.
+GROUP_BYTES, BUCKET_BYTES = 6_000_000, 6_000_000
+PARTS, MOST_BYTES = 2_000, 64_000_000
 
 LOW = U64(0xFFFFFFFF)
 NAME96 = np.dtype([("hi", "<u8"), ("lo", "<u4")])
@@ -263,13 +266,15 @@ def kept(table: pa.Table, hits: pa.Table) -> pa.Table:
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (the words that stay, joined by blanks), a row for each row of docs.
 
-    Null texts have no words. Null ids stay null. Rows repeated with one id and text count as often
-    as they occur, so their windows are found twice. An empty table gives no rows.
+    Null texts have no words. Null ids stay null, others must be whole numbers. Rows repeated with one
+    id and text count as often as they occur, so their windows are found twice. An empty table gives
+    no rows; other columns don't matter. docs should come from a scan or a checkpoint, whose rows keep
+    their places when a task is run again.
     """
     size = text_bytes(docs, text_col)
-    groups, buckets = max(16, size // GROUP_BYTES), max(16, size // BUCKET_BYTES)
+    groups, buckets = (max(16, size // min(MOST_BYTES, max(least, size // PARTS))) for least in (GROUP_BYTES, BUCKET_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(groups)).alias("grp"), "id", "text")
+    rows = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("grp"), "id", "text")
     sent = rows.groupBy("grp").applyInArrow(lambda t: sent_chains(t, buckets), SENT)
     hits = sent.groupBy("part").applyInArrow(returned(np.dtype("<u4")), RETURNED)
     windows = rows.groupBy("grp").cogroup(hits.groupBy("grp")).applyInArrow(lambda t, h: sent_windows(t, h, buckets, buckets), SENT)

@@ -201,6 +201,17 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.deduplicate(empty).count() == 0
 
 
+def test_equal_rows_spread_over_groups(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(7, text)], "doc_id long, text string").crossJoin(spark.range(100_000)).select("doc_id", "text")
+    path = fresh_path(spark, "equal")
+    docs.repartition(4).write.parquet(path)
+    got = substring_dedup.deduplicate(spark.read.parquet(path))
+    assert got.groupBy("n_words", "n_removed", "kept").count().collect()[0].asDict() == {"n_words": 40, "n_removed": 40, "kept": "", "count": 100_000}
+    dealt = spark.read.parquet(path).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).alias("g")).groupBy("g").count().collect()
+    assert len(dealt) == 16 and max(r["count"] for r in dealt) < 7_500
+
+
 def test_chains_survive_any_surroundings():
     rng = np.random.default_rng(4)
     for alphabet in (2, 3, 50):
