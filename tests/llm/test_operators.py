@@ -557,3 +557,30 @@ def test_licences(spark, docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == 0
     plan = licenses.scan(table)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_every_template_is_found_whole_and_wrapped(spark):
+    import textwrap
+
+    rows, want = [], {}
+    for _, family, ts in [(n, f, t) for f, t in licenses.TEMPLATES.items() for n in (0,)]:
+        for t in ts:
+            for width in (10_000, 70, 55):
+                body = "\n".join(f" * {x}" for x in textwrap.wrap(t, width)[:4])
+                if width < 10_000 and len(textwrap.wrap(t, width)) > 4:
+                    continue
+                want[len(rows)] = family
+                rows.append((len(rows), f"Some words of prose before it all\n\n{body}\n\nand other prose that follows here"))
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["id"], set()).add(r["family"])
+    assert {i: want[i] for i in want if want[i] not in got.get(i, ())} == {}
+    assert licenses.model()[2] > 0 and not {t for ts in licenses.TEMPLATES.values() for t in ts} & {t for ts in licenses.WORDINGS.values() for t in ts}
+
+
+def test_licences_in_long_and_repeated_texts(spark):
+    prose = "plain words that say nothing of it\n" * 30_000
+    rows = [(1, prose + "SPDX-License-Identifier: MIT\n" + prose), (2, "Released under CC0 1.0"), (2, "Released under CC0 1.0"), (None, "Released under CC0 1.0")]
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, lines string, x int, grams string")
+    got = sorted((r["id"] or 0, r["paragraph"], r["family"]) for r in licenses.scan(docs).collect())
+    assert got == [(0, 0, "cc0"), (1, 30_000, "mit"), (2, 0, "cc0"), (2, 0, "cc0")]
