@@ -12,12 +12,19 @@ card   12 to 19 digits, single blanks or hyphens between them, that pass the Luh
 phone  `+` and 9 to 15 digits with blanks, brackets, dots and hyphens
 iban   after a cue: two letters, two check digits, 11 to 30 more; modulo 97 is 1
 account after a cue: 6 to 17 digits, single blanks or hyphens between them
-login  `user:secret@` after a scheme
+login  `user:secret` in the authority of a URL, whose host must be a name or an address
+ipv6   eight groups of hexadecimal digits, or fewer around one `::`, as the address rules have them
+tel    the number after `tel:`, 6 to 15 digits without a country code
 ====== ==========================================================================================
+
+An authority runs from `://` to the next slash, question mark, hash, blank or quote; its user part
+ends at its last at-sign, its host is a name of labels, four dotted numbers or an IPv6 address in
+square brackets, and a port may follow.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.common import map_text, slices
 
-KINDS = ("email", "ip", "card", "phone", "iban", "account", "login")
+KINDS = ("email", "ip", "card", "phone", "iban", "account", "login", "ipv6", "tel")
 BASE = KINDS[:4]
 RANK = {k: i for i, k in enumerate(KINDS)}
 
@@ -40,7 +47,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?:[ :#=]|no\.?|number)*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 ACCOUNT = re.compile(r"(?: ?(?:no\.?|number|nr\.?|id))?[ :#=]{0,3}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
-LOGIN = re.compile(r"([A-Za-z0-9._~%+-]++:[^\s/@:]++)@[A-Za-z0-9]")
+AUTHORITY = re.compile(r"[^\s/?#\"'<>]++")
+HOST = re.compile(r"(?:\[([0-9A-Fa-f:.]+)\]|[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.?)(?::[0-9]{1,5})?")
+USER = re.compile(r"[A-Za-z0-9._~%+-]+:[^\s/@:]+")
+GROUPS = re.compile(r"[0-9A-Fa-f:]++(?:\.[0-9]++){0,3}")
+TEL = re.compile(r"[0-9](?:[ ().-]?[0-9]){5,14}(?![0-9])")
 
 #: Words that announce an identifier, in lower case; also found capitalised and in capitals.
 IBAN_CUES = ("iban",)
@@ -54,7 +65,7 @@ def anchors():
     a = ahocorasick.Automaton()
     for d in "0123456789":
         a.add_word(d, "digit")
-    for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme"), *((c, "iban") for c in IBAN_CUES), *((c, "account") for c in ACCOUNT_CUES)):
+    for word, kind in (("@", "at"), ("+", "plus"), ("://", "scheme"), ("::", "colons"), ("tel:", "tel"), *((f":{d}", "colons") for d in "0123456789abcdefABCDEF"), *((c, "iban") for c in IBAN_CUES), *((c, "account") for c in ACCOUNT_CUES)):
         for form in {word, word.upper(), word.capitalize()}:
             a.add_word(form, kind)
     a.make_automaton()
@@ -69,10 +80,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+HEX = frozenset("0123456789ABCDEFabcdef")
+
+
+def is_ipv6(text: str) -> bool:
+    """Whether a text is an IPv6 address that names more than a place holder; times and short runs are none."""
+    if not 8 <= len(text) <= 45 or text.count(":") < 3:
+        return False
+    try:
+        return ipaddress.IPv6Address(text) > ipaddress.IPv6Address("::1")
+    except ValueError:
+        return False
+
+
+def is_host(text: str) -> bool:
+    """Whether a text is a host, with or without a port."""
+    m = HOST.match(text)
+    return m is not None and (m[1] is None or is_ipv6(m[1]) or m[1] == "::1")
+
+
 def find(text: str) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in code points, end exclusive, by start and then by kind."""
     spans: list[tuple[str, int, int]] = []
-    done = dict.fromkeys(("at", "ip", "card", "phone"), 0)
+    done = dict.fromkeys(("at", "ip", "card", "phone", "ipv6"), 0)
     for last, kind in anchors().iter(text):
         if kind == "digit":
             if last >= done["ip"]:
@@ -103,8 +133,21 @@ def find(text: str) -> list[tuple[str, int, int]]:
                 if 9 <= sum("0" <= c <= "9" for c in m[0]) <= 15:
                     spans.append(("phone", last, m.end()))
         elif kind == "scheme":
-            if m := LOGIN.match(text, last + 1):
-                spans.append(("login", m.start(1), m.end(1)))
+            if (m := AUTHORITY.match(text, last + 1)) and (k := m[0].rfind("@")) > 0:
+                if USER.fullmatch(m[0], 0, k) and is_host(m[0][k + 1 :]):
+                    spans.append(("login", m.start(), m.start() + k))
+        elif kind == "colons":
+            start = text.rfind(":", 0, last + 1) if text[last] != ":" else last - 1
+            if start >= done["ipv6"]:
+                while start > done["ipv6"] and text[start - 1] in HEX:
+                    start -= 1
+                m = GROUPS.match(text, start)
+                done["ipv6"] = m.end()
+                if is_ipv6(m[0]) and not (start and text[start - 1].isalnum()) and not text[m.end() : m.end() + 1].isalnum():
+                    spans.append(("ipv6", start, m.end()))
+        elif kind == "tel":
+            if m := TEL.match(text, last + 1):
+                spans.append(("tel", m.start(), m.end()))
         elif kind == "iban":
             if m := IBAN.match(text, last + 1):
                 code = m[1].replace(" ", "")

@@ -45,39 +45,66 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
-#: Entries of the production list: (list, domain, date, added). Pages carry no fetch time; the
-#: query takes day `page_id modulo 366` of 2024 for it.
+#: Fixed entries of the dated list: (list, domain, date, added).
 LIST_EVENTS = (
     ("gambling", "casino-win.example.com", "2024-01-15", True),
     ("gambling", "casino-win.example.com", "2024-06-01", False),
     ("gambling", "casino-win.example.com", "2024-09-10", True),
     ("gambling", "free-bets.example.com", "2024-03-01", True),
     ("adult", "adult-cam.example.net", "2024-02-01", True),
-    ("spam", "tionsh.example.net", "2024-05-01", True),
-    ("spam", "tionsh.example.net", "2024-05-20", False),
-    ("malware", "thther.example.org", "2024-07-07", True),
     ("malware", "example.org", "2024-12-01", True),
 )
 
+#: The lists that hosts are dealt to, and the rule's steps: (day after the first, list's turn, every so many hosts, added).
+LISTS = ("spam", "malware", "phishing")
+STEPS = ((0, 1, True), (30, 2, False), (100, 4, True), (101, 8, False))
 
-def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def list_events(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """The dated list, which grows with the hosts: the fixed entries, and by rule entries of every fifth host that pages have.
+
+    A host's number is the first 16 bits of its MD5; it names the list and the day in 2024 of the first
+    entry. Every host of those is added, every second removed 30 days later, every fourth added again
+    after 100 days, and every eighth removed again on the day after that.
+    """
     values = ", ".join(f"('{n}', '{d}', DATE '{at}', {str(on).lower()})" for n, d, at, on in LIST_EVENTS)
-    events = spark.sql(f"SELECT * FROM VALUES {values} AS t(list, domain, at, added)")
+    fixed = spark.sql(f"SELECT * FROM VALUES {values} AS t(list, domain, at, added)")
+    hosts = pages.select(url_filters.host(F.col("url")).alias("domain")).filter("domain is not null").distinct()
+    k = F.conv(F.substring(F.md5("domain"), 1, 4), 16, 10).cast("int")
+    listed = hosts.withColumn("k", k).filter("k % 5 = 0")
+    steps = F.array(*[F.struct(F.lit(day).alias("day"), F.lit(each).alias("each"), F.lit(on).alias("added")) for day, each, on in STEPS])
+    dated = listed.select("domain", "k", F.explode(steps).alias("s")).filter("k div 5 % s.each = 0")
+    name = F.element_at(F.array(*[F.lit(x) for x in LISTS]), F.col("k") % 3 + 1)
+    at = F.date_add(F.lit("2024-01-01").cast("date"), F.col("k") % 200 + F.col("s.day"))
+    return fixed.unionByName(dated.select(name.alias("list"), "domain", at.alias("at"), F.col("s.added").alias("added")))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All captures against the list; pages carry no fetch time, so day `page_id modulo 366` of 2024 stands for it."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).alias("fetched"))
-    return url_filters.judge(pages, events).withColumnRenamed("id", "page_id")
+    return url_filters.judge(pages, list_events(spark, pages)).withColumnRenamed("id", "page_id")
 
 
 URL_SQL = """
-WITH e(list, domain, day, added) AS (VALUES {values}),
-v AS (SELECT list, domain, day AS valid_from, added, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS valid_to FROM e),
-p AS (SELECT row_number() OVER () AS k, page_id, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), '') AS host,
+WITH p AS (SELECT row_number() OVER () AS k, page_id, nullif(rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.'), '') AS host,
   CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched FROM pages),
+h AS (SELECT DISTINCT host AS domain, CAST('0x' || substr(md5(host), 1, 4) AS INTEGER) AS n FROM p WHERE host IS NOT NULL),
+e AS (SELECT list, domain, day, bool_and(added) AS added FROM (
+  SELECT * FROM (VALUES {values}) AS f(list, domain, day, added)
+  UNION ALL SELECT [{lists}][n % 3 + 1], domain, CAST(DATE '2024-01-01' + CAST(n % 200 + s.d AS INTEGER) AS DATE), s.added FROM h JOIN (VALUES {steps}) AS s(d, each, added) ON n // 5 % s.each = 0 WHERE n % 5 = 0) GROUP BY ALL),
+v AS (SELECT list, domain, day AS valid_from, added, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS valid_to FROM e),
 hit AS (SELECT p.k, count(*) AS n, string_agg(DISTINCT v.list, ',' ORDER BY v.list) AS lists FROM p JOIN v
   ON v.added AND (p.host = v.domain OR ends_with(p.host, '.' || v.domain)) AND p.fetched >= v.valid_from AND (v.valid_to IS NULL OR p.fetched < v.valid_to) GROUP BY p.k)
 SELECT p.page_id, p.host, p.fetched, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_active, coalesce(hit.lists, '') AS lists, hit.n IS NOT NULL AS blocked FROM p LEFT JOIN hit USING (k)
 """
 
 
+def url_sql() -> str:
+    values = ", ".join(f"('{n}', '{d}', DATE '{at}', {str(on).lower()})" for n, d, at, on in LIST_EVENTS)
+    steps = ", ".join(f"({day}, {each}, {str(on).lower()})" for day, each, on in STEPS)
+    return URL_SQL.format(values=values, lists=", ".join(f"'{x}'" for x in LISTS), steps=steps)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -126,6 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_url_filters": URL_SQL.format(values=", ".join(f"('{n}', '{d}', DATE '{at}', {str(on).lower()})" for n, d, at, on in LIST_EVENTS)),
+    "op3_url_filters": url_sql(),
     "op10_licenses": licenses.oracle_sql(),
 }

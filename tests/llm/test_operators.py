@@ -171,6 +171,17 @@ def test_logins_of_any_length():
     assert not [x for x in pii.find("https://" + "u" * 1_000_000 + " https://u:" + "s" * 1_000_000) if x[0] == "login"]
 
 
+def test_addresses_from_schemes_and_colons():
+    def found(text):
+        return [(k, text[a:b]) for k, a, b in pii.find(text) if k not in pii.BASE]
+
+    assert found("ssh://me:pw@localhost:22/x and http://a:b@[2001:db8::7]:80/") == [("login", "me:pw"), ("login", "a:b"), ("ipv6", "2001:db8::7")]
+    assert found("at 2001:0db8:85a3:0000:0000:8a2e:0370:7334, fe80::1ff:fe23:4567:890a. ::ffff:10.0.0.1") == [("ipv6", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"), ("ipv6", "fe80::1ff:fe23:4567:890a"), ("ipv6", "::ffff:10.0.0.1")]
+    assert found("call tel:017-555-7713 or tel:12") == [("tel", "017-555-7713")]
+    for clean in ("at 12:30:45 o'clock", "std::vector<int> a::b::c x::y", "http://host:80/a:b@c", "see ::1 and ::", "a:b:c:d:e", "ratio 1:2:3:4:5", "https://www.example.com/path?q=a@b", "beef:" * 30_000):
+        assert found(clean) == [], clean[:40]
+
+
 # ---------------------------------------------------------------- 3 URL filters
 
 
@@ -179,6 +190,8 @@ def test_url_lists_by_time(spark):
     caps = spark.createDataFrame([(1, "http://www.BAD.com:80/a", 10), (2, "http://bad.com/", 20), (3, "https://u:p@x.bad.com./", 9), (4, None, 12), (5, "bad.com", 12), (6, "http://notbad.com", 12), (1, "http://www.BAD.com:80/a", 10), (7, "http://bad.com", None)], "page_id long, url string, fetched int")
     got = sorted((r["id"], r["lists"], r["blocked"]) for r in url_filters.judge(caps, events).collect())
     assert got == [(1, "l", True), (1, "l", True), (2, "m", True), (3, "", False), (4, "", False), (5, "", False), (6, "", False), (7, "", False)]
+    clash = caps.select("*", F.lit("q").alias("id"), F.lit("h").alias("host"), F.lit("d").alias("domain"), F.lit("l").alias("lists"))
+    assert sorted((r["id"], r["lists"], r["blocked"]) for r in url_filters.judge(clash, events).collect()) == got
     assert url_filters.judge(caps.limit(0), events).count() == 0 and url_filters.judge(caps, events.limit(0)).filter("blocked").count() == 0
 
 
