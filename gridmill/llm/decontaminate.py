@@ -179,7 +179,9 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     """id, item, score (share of the item's own), first_word, last_word for each item found in each row of docs.
 
     Null and empty texts and items match nothing; an item shorter than a seed is found by all its
-    words. Repeated rows repeat their finds; of items repeated with one id and text one counts.
+    words. Repeated rows repeat their finds; of items repeated with one id and text one counts. Of
+    places with one score the first counts; a score of just the threshold is a find. Null ids stay,
+    others must be whole numbers; an empty table gives no rows; other columns don't matter.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, item long, score double, first_word long, last_word long"
@@ -202,7 +204,12 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
 
 
 def drop(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no benchmark item is found; columns as they were."""
+    """The rows of docs in which no benchmark item is found, as `search` finds them; columns as they were, whatever their names.
+
+    Null and empty texts hold none and stay, repeated rows stay or go together, an empty table or
+    benchmark drops nothing. A score of just the threshold is a find. Texts are read whole. Every block
+    of items is looked for in one pass over what the blocks before it left, in one plan.
+    """
     for block in blocks(benchmark, item_col, item_text_col):
         index = Index(block)
 

@@ -276,6 +276,50 @@ def test_edited_copies_are_found_in_small_tables_and_in_groups(spark):
         assert decontaminate.drop(docs, bench).count() == len(others)
 
 
+def smith_waterman(a, b):
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a)):
+        for j in range(len(b)):
+            h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
+    return int(h.max())
+
+
+def test_decontamination_equals_all_alignments(spark, monkeypatch):
+    """Every text against every item, in one block and in many; copies have words replaced, left out and put in, and marks."""
+    rng = random.Random(13)
+    lexicon = [f"w{i}" for i in range(400)]
+    items = [rng.sample(lexicon, rng.randint(12, 30)) for _ in range(12)] + [["w1", "w2"], ["w3"], rng.sample(lexicon, 20)]
+    texts = []
+    for _ in range(90):
+        part = list(rng.choice(items))
+        for _ in range(rng.randint(0, len(part) // 3)):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice([["new"], [], [part[at], "extra"], [part[at].upper() + "!"], [part[at], "--"]]) or []
+            part = part or ["x"]
+        texts.append(" ".join(rng.choices(lexicon[200:], k=rng.randint(0, 20)) + part + rng.choices(lexicon[200:], k=rng.randint(0, 20))))
+    texts += ["", None, "w3", "W1, w2.", "w2 w1"]
+    lists = [decontaminate.item_words(t) for t in texts]
+
+    def seeds(ws):
+        n = min(3, len(ws))
+        return {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)}
+
+    want = {}
+    for d, t in enumerate(lists):
+        for k, w in enumerate(items):
+            n = min(3, len(w))
+            held = {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+            share = smith_waterman(w, t) / (2 * len(w))
+            if held & seeds(w) and share >= 0.6:
+                want[(d, k)] = round(share, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    for block in (20_000, 4):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", block)
+        assert {(r["id"], r["item"]): r["score"] for r in decontaminate.search(docs, bench).collect()} == want and len(want) > 60
+        assert {r["doc_id"] for r in decontaminate.drop(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
 def test_bound_refuses_no_find():
     rng = np.random.default_rng(6)
     for _ in range(2000):

@@ -35,3 +35,92 @@ def test_stages(spark):
     assert docs.select("text").distinct().count() == docs.count()
     pieces = p.STAGES[-1][1](spark, docs, DIR)
     assert pieces.select("doc_id").distinct().count() == docs.count()
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline file")
+def test_stages_take_odd_rows(spark, docs, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing names and empty tables go through every stage."""
+    import corpus_pipeline as p
+
+    odd, none = docs.cache(), empty
+    for name, stage in p.STAGES:
+        got = stage(spark, odd, DIR)
+        rows = got.collect()
+        assert stage(spark, none, DIR).count() == 0, name
+        if name != p.STAGES[-1][0]:
+            assert got.columns == docs.columns and len(rows) <= docs.count(), name
+        else:
+            assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_queries_equal_their_contracts(spark):
+    """op1, op2, op4, op6, op7 and op8 through their own functions, against plain versions on the smallest tables."""
+    import hashlib
+    import re
+    import zlib
+    from collections import Counter, defaultdict
+
+    import numpy as np
+    import xxhash
+    from tokenizers import Tokenizer
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()}
+    words = {i: re.findall(r"[^\x20\x09-\x0D]+", t) for i, t in texts.items()}
+
+    one, eight = (Tokenizer.from_file(queries.vocabulary(f)) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    ids = {i: np.array(one.encode(t, add_special_tokens=False).ids + [0], "<u4") for i, t in texts.items()}
+    seqs, total = defaultdict(list), Counter()
+    for r in queries.op1_packing(spark, DIR).collect():
+        assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+        total[r["doc_id"]] += r["length"]
+    assert total == {i: len(x) for i, x in ids.items()}
+    for s in seqs.values():
+        ends = np.cumsum([n for _, n in sorted(s)])
+        assert ends[-1] <= 1024 and [o for o, _ in sorted(s)] == [0, *ends[:-1]]
+
+    from tests.llm.test_operators import base_spans, print_of
+    from gridmill.llm import pii
+
+    for r in queries.op2_pii(spark, DIR).collect():
+        base = [(pii.KINDS[k], a, b) for a, k, b in base_spans(texts[r["doc_id"]])]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[0] == k for x in base) for k in pii.BASE]
+
+    seen = Counter(tuple(w[k : k + 35]) for w in words.values() for k in range(len(w) - 34))
+    for r in queries.op4_substring_dedup(spark, DIR).collect():
+        w = words[r["doc_id"]]
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = True
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == (len(w), gone.sum(), hashlib.sha256(kept.encode()).hexdigest())
+
+    for r in queries.op6_quality_rules(spark, DIR).collect():
+        w = words[r["doc_id"]]
+        times, cover = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)), set()
+        for k in range(len(w) - 4):
+            if times[tuple(w[k : k + 5])] > 1:
+                cover.update(range(k, k + 5))
+        assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (len(w), len(cover), len(w) < 10 or 100 * len(cover) > 20 * len(w))
+
+    prints = {i: print_of(t) for i, t in texts.items()}
+    for r in queries.op7_simhash(spark, DIR).collect():
+        assert r["fingerprint"] == f"{prints[r['doc_id']]:016x}" and r["component_id"] <= r["doc_id"]
+
+    at = 0
+    got = {r["doc_id"]: r for r in queries.op8_token_output(spark, DIR).collect()}
+    for i in sorted(texts):
+        x = np.array(eight.encode(texts[i], add_special_tokens=False).ids + [1], "<u4")
+        assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (at, len(x), zlib.crc32(x.tobytes()))
+        at += len(x)
+
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
+    nine = queries.op9_quality_classifier(spark, DIR).collect()
+    held = [r for r in nine if r["held_out"] and labels.get(r["doc_id"]) in (0, 1)]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.5) for r in nine)
+    assert len(nine) == len(texts) and sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.8 * len(held)
+    five = {(r["doc_id"], r["item_id"]) for r in queries.op5_decontamination(spark, DIR).collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
+    assert {(i, k) for i, t in texts.items() for k, x in items.items() if x and x in t} <= five
