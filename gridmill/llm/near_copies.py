@@ -15,9 +15,10 @@ but 3 in 100,000 pairs, at 0.85 all but 1 in 1,000,000.
 
 Candidates form coarse classes. Within a class, a sketch of `BINS` bins (one-permutation minhash, a
 standard error of 0.025 at 0.8) refuses pairs `ERRORS` standard errors below the similarity; all
-others are verified by their sets of shingle hashes, and only verified links count. The sets are made
-for texts of classes of two and more alone: a filter of fixed size tells which texts these may be. Large classes are verified in pairs of blocks, so no
-task holds more than two blocks and no pair of texts of a class is left out.
+others are verified by their sets of shingle hashes, and only verified links count. Sets are made for
+texts of classes of two and more alone, told by a set of bits of fixed size, and sketches from the sets
+where they are compared. Large classes are verified in pairs of blocks, so no task holds more than two
+blocks and no pair of texts of a class is left out.
 """
 
 from __future__ import annotations
@@ -75,34 +76,37 @@ def shingles(line: bytes, words: list[bytes], shingle: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(line[s : e - 1]) for s, e in zip(starts[:n].tolist(), last.tolist())], U64)
 
 
-def described(text: bytes, shingle: int) -> tuple[int, int, int, bytes, bytes]:
-    """(hash of the words, low 64 bits, high 28 bits, sketch, keys) of a text, A-Z lower-cased."""
+def described(text: bytes, shingle: int) -> tuple[int, int, int, bytes]:
+    """(hash of the words, low 64 bits, high 28 bits, keys) of a text, A-Z lower-cased."""
     words = text.lower().split()
     line = b" ".join(words)
     name = xxhash.xxh3_64_intdigest(line)
     if not words:
-        return name, 0, 0, np.zeros(BINS, "<u2").tobytes(), keys(np.zeros(0, U64))
+        return name, 0, 0, keys(np.zeros(0, U64))
     distinct = b"".join([xxhash.xxh3_128_digest(w) for w in set(words)])
     bits = np.unpackbits(np.frombuffer(distinct, np.uint8).reshape(-1, 16)[:, :12], axis=1, bitorder="little")
     print_ = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits), bitorder="little")
-    h = shingles(line, words, shingle)
-    sketch = np.full(BINS, 1 << 56, np.int64)
-    np.minimum.at(sketch, (h % U64(BINS)).astype(int), (h >> U64(8)).astype(np.int64))
-    short = np.where(sketch < 1 << 56, 1 + (mix(sketch.astype(U64)) % U64(65535)).astype(np.int64), 0).astype("<u2")
     whole = np.concatenate((print_, np.zeros(4, np.uint8)))
-    return name, int(whole[:8].view("<u8")[0]), int(whole[8:12].view("<u4")[0]) & ((1 << (BITS - 64)) - 1), short.tobytes(), keys(h)
+    return name, int(whole[:8].view("<u8")[0]), int(whole[8:12].view("<u4")[0]) & ((1 << (BITS - 64)) - 1), keys(shingles(line, words, shingle))
+
+
+def sketch(h: np.ndarray) -> np.ndarray:
+    """One-permutation minhash of a set of shingle hashes: BINS numbers, 0 for an empty bin."""
+    least = np.full(BINS, 1 << 56, np.int64)
+    np.minimum.at(least, (h % U64(BINS)).astype(int), (h >> U64(8)).astype(np.int64))
+    return np.where(least < 1 << 56, 1 + (mix(least.astype(U64)) % U64(65535)).astype(np.int64), 0).astype("<u2")
 
 
 def descriptions(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """id, name, a, b, sketch, keys for each row."""
+    """id, name, a, b, keys for each row."""
 
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         got = [described(t, shingle) for t in texts(part.column(1))]
-        n, a, b, s, k = zip(*got) if got else ((), (), (), (), ())
-        return pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(n, U64).view(np.int64)), pa.array(np.array(a, U64).view(np.int64)), pa.array(b, pa.int64()), pa.array(s, pa.binary()), pa.array(k, pa.binary())], ["id", "name", "a", "b", "sketch", "keys"])
+        n, a, b, k = zip(*got) if got else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(n, U64).view(np.int64)), pa.array(np.array(a, U64).view(np.int64)), pa.array(b, pa.int64()), pa.array(k, pa.binary())], ["id", "name", "a", "b", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return map_text(rows, kernel, "id long, name long, a long, b long, sketch binary, keys binary", "text")
+    return map_text(rows, kernel, "id long, name long, a long, b long, keys binary", "text")
 
 
 def files(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -295,14 +299,13 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(print_name(a, b).view(np.int64)), batch.column(3)], ["name", "print", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(print_name(a, b).view(np.int64))], ["name", "print"])
 
-    once = rows.groupBy("name").agg(F.min(F.struct("a", "b", "sketch")).alias("s")).select("name", "s.a", "s.b", "s.sketch")
-    once = once.mapInArrow(named, "name long, print long, sketch binary")
+    once = rows.select("name", "a", "b").distinct().mapInArrow(named, "name long, print long")
     buckets = max(64, n // BUCKET_PRINTS)
     near = dealt(prints, buckets).groupBy("bucket").applyInArrow(links, "a long, b long")
     coarse = components(near.union(banded(rows, buckets).groupBy("bucket").applyInArrow(band_pairs, "a long, b long")))
-    member = once.join(coarse, once["print"] == coarse["node"], "left").select("name", "sketch", F.coalesce("root", "print").alias("cls"))
+    member = once.join(coarse, once["print"] == coarse["node"], "left").select("name", F.coalesce("root", "print").alias("cls"))
     member = cut(member)
     size = member.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").repartition(F.xxhash64("cls"))  # dealt anew, so that a large class can be split in the join
     live = cut(member.join(size, "cls"))
@@ -310,7 +313,7 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     spread = live.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     parts = max(64, n // 4_000)
     part = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("cls"), F.lit(parts))).otherwise(F.pmod(F.xxhash64("cls", "i", "j"), F.lit(parts)))
-    spread = spread.select(part.alias("part"), "cls", "i", "j", "name", "sketch", "set")
+    spread = spread.select(part.alias("part"), "cls", "i", "j", "name", "set")
 
     def verify(table: pa.Table) -> pa.Table:
         table = table.sort_by([("cls", "ascending"), ("i", "ascending"), ("j", "ascending"), ("name", "ascending")])
@@ -318,15 +321,15 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
         names = table.column("name").to_numpy()
         start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
         out_a, out_b = [], []
-        blobs, sets = table.column("sketch"), table.column("set")
+        blobs = table.column("set")
         for s, e in zip(start, [*start[1:], len(names)]):
-            sketches = np.frombuffer(b"".join(x.as_py() for x in blobs.slice(s, e - s)), "<u2").reshape(-1, BINS)
             if e - s < 2:
                 continue
-            a, b = verified(names[s:e], sketches, [np.frombuffer(x.as_py(), U64) for x in sets.slice(s, e - s)], similarity)
+            sets = [np.frombuffer(x.as_py(), U64) for x in blobs.slice(s, e - s)]
+            a, b = verified(names[s:e], np.stack([sketch(x) for x in sets]), sets, similarity)
             out_a += a
             out_b += b
-        del table, blobs, sets
+        del table, blobs
         pa.default_memory_pool().release_unused()
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
@@ -344,24 +347,35 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", t
     The row with the group's least id stays; of several rows with that id, and in a group whose ids are
     all null, the one whose words have the least hash, then the least text, then the least hash of its
     other columns. Null and blank texts are one group; rows repeated in full leave one; an empty table
-    stays empty. Texts of any length are compared whole.
+    stays empty. Texts of any length are compared whole. Only rows that may be in a group of several, by
+    a set of bits of fixed size, are moved.
     """
-    named = groups(docs, similarity, id_col, text_col, shingle)
+    named = cut(groups(docs, similarity, id_col, text_col, shingle))
     group = F.struct(F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("name")))
     own, of, which = (unused(docs, c) for c in ("gm_name", "gm_of", "gm_id"))
-    stay = named.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name")).alias("s")).select(F.col("s.id").alias(which), F.col("s.name").alias(of))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name")).alias("s")
+    several = named.groupBy(group.alias("g")).agg(F.count("*").alias("n"), first).filter("n > 1")
+    stay = several.select(F.col("s.id").alias(which), F.col("s.name").alias(of))
+    words = bits_of(named.join(several.select("g"), group == F.col("g"), "left_semi").select("name"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], among: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts(batch.column(text_col))], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names)], schema=batch.schema.append(pa.field(own, pa.int64())))
-
-    marked = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
-    kept = marked.join(stay, marked[id_col].cast("long").eqNullSafe(stay[which]) & (marked[own] == stay[of]), "left_semi")
+            for part in slices(batch, text_col):
+                names = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts(part.column(text_col))], U64).view(np.int64)
+                held = pa.array(in_bits(words, names) == among)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names)], schema=part.schema.append(pa.field(own, pa.int64()))).filter(held)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())])
+    alone = docs.mapInArrow(lambda b: run(b, False), schema).drop(own)  # in no group of several rows
+    marked = docs.mapInArrow(lambda b: run(b, True), schema)
+    groups_of = named.join(several.select("g"), group == F.col("g"), "left_semi").select("id", "name").distinct().select(F.col("id").alias(which), F.col("name").alias(of))
+    same = marked[id_col].cast("long").eqNullSafe(F.col(which)) & (marked[own] == F.col(of))
+    wrongly = marked.join(groups_of, same, "left_anti").drop(own)  # the bits hold a few others
+    kept = marked.join(stay, same, "left_semi")
     plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, T.MapType) and f.name not in (id_col, text_col)]
     order = F.struct(F.col(f"`{text_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0))
-    first = kept.groupBy(F.col(f"`{id_col}`").alias("k"), F.col(own).alias("w")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
-    return first.select("row.*")
+    one = kept.groupBy(F.col(f"`{id_col}`").alias("k"), F.col(own).alias("w")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
+    return alone.unionAll(wrongly).unionAll(one.select("row.*"))
 
 
 def unused(docs: DataFrame, name: str) -> str:
