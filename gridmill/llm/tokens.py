@@ -27,7 +27,7 @@ LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0,
 MARKS = r"[.,;:!?*$%&#|()\"]*"
 
 #: Bytes of a worker's memo of chunks, about; beyond, it keeps short ones only, or starts anew.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 176 << 20
 #: What an entry takes beside its texts, about; longer chunks than LONGEST letters are never kept.
 ENTRY_BYTES, LONGEST = 200, 64
 #: Letters handed to the library at once, about, as its results take many times their size.
