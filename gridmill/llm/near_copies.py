@@ -4,14 +4,16 @@ The fingerprint of `simhash.groups` links at four of 64 bits; copies with a simi
 more. Here a text's distinct words give a SimHash of 92 bits, four whole Golay segments of 23. Of at
 most eight differing bits some two segments differ in two bits at most each (were three segments to
 differ in three or more, there would be nine), and two words within distance 2 share a codeword
-around them, so every such pair shares a file of two codewords. Pairs in a file within `DISTANCE` bits
-are candidates.
+around them, so every such pair shares a file of two codewords.
 
 At a similarity of 0.8 block edits and cut copies differ in some 14 bits, where files miss pairs. So
-texts get `BANDS` more keys, each of `ROWS` minima (minhash) of their shingles, beside the files: two
-texts of similarity s share a key with 1 - (1 - s^4)^20, whatever the edit. Pairs with a key in common
-are candidates if at most `SIGNS` of the 128 minima's sign bits differ. At 0.8 both together keep all
-but 3 in 100,000 pairs, at 0.85 all but 1 in 1,000,000.
+texts get `BANDS` more files, each named by `ROWS` minima (minhash) of their shingles: two texts of
+similarity s share one with 1 - (1 - s^4)^20, whatever the edit. Pairs in a file of either kind are
+candidates if at most `SIGNS` of the sign bits of 128 minima differ: at 0.8 one pair in 10,000,000
+differs in more, and of 100,000,000 pairs with no shingle in common one differs in so few. A limit on
+the fingerprints' own bits would not do: they are alike in all texts of a language, so that chains of
+such pairs join ever more of a growing table in one class. At 0.8 files of both kinds keep all but 3
+in 100,000 pairs, at 0.85 all but 1 in 1,000,000.
 
 Candidates form coarse classes. Within a class, a sketch of `BINS` bins (one-permutation minhash, a
 standard error of 0.025 at 0.8) refuses pairs `ERRORS` standard errors below the similarity; all
@@ -37,7 +39,6 @@ from gridmill.llm import golay
 from gridmill.llm.common import U64, bits_of, components, cut, in_bits, join2, map_text, mix, popcount, roots, slices, texts
 
 BITS, SEGMENTS = 92, 4
-DISTANCE = 18
 BANDS, ROWS = 20, 4
 SIGNS = 32
 BINS = 256
@@ -46,8 +47,7 @@ ERRORS = 5
 BLOCK = 1024
 BUCKET_PRINTS = 2_000
 
-ENTRY = np.dtype([("file", "<u4"), ("a", "<u8"), ("b", "<u4")])
-KEYED = np.dtype([("file", "<u4"), ("print", "<u8"), ("low", "<u8"), ("high", "<u8")])
+ENTRY = np.dtype([("file", "<u4"), ("low", "<u8"), ("high", "<u8")])
 KEYS = np.dtype([("file", "<u4", (BANDS,)), ("low", "<u8"), ("high", "<u8")])
 
 #: Odd factors that turn a shingle's hash into 128 independent ones.
@@ -122,55 +122,36 @@ def files(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
 
 
 def dealt(prints: DataFrame, buckets: int) -> DataFrame:
+    """Entries of texts (a, b, keys) in the files of their fingerprints and of their bands, by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                a, b = (batch.column(i).slice(lo, 4096).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1))
-                got = list(files(a, b))
+            for lo in range(0, batch.num_rows, 2048):
+                a, b = (batch.column(i).slice(lo, 2048).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1))
+                k = np.frombuffer(b"".join(batch.column(2).slice(lo, 2048).to_pylist()), KEYS)
+                bands = mix(k["file"].astype(U64)).ravel()
+                got = [*files(a, b), (bands, np.repeat(np.arange(len(k)), BANDS))]
                 names, at = np.concatenate([x[0] for x in got]), np.concatenate([x[1] for x in got])
                 of = (names >> U64(32)) % U64(buckets)
                 order = np.argsort(of, kind="stable")
+                at = at[order]
                 e = np.empty(len(names), ENTRY)
-                e["file"], e["a"], e["b"] = (names & U64(0xFFFFFFFF))[order], a[at][order], b[at][order]
+                e["file"], e["low"], e["high"] = (names & U64(0xFFFFFFFF))[order], k["low"][at], k["high"][at]
                 bucket, first, n = np.unique(of[order], return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array([e[i : i + k].tobytes() for i, k in zip(first, n)], pa.binary())], ["bucket", "blob"])
 
     return prints.mapInArrow(run, "bucket long, blob binary")
 
 
-def banded(rows: DataFrame, buckets: int) -> DataFrame:
-    """Entries of texts (a, b, keys) in the files of their bands, by bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                print_ = print_name(*(batch.column(i).slice(lo, 4096).to_numpy(zero_copy_only=False).view(U64) for i in (0, 1)))
-                k = np.frombuffer(b"".join(batch.column(2).slice(lo, 4096).to_pylist()), KEYS)
-                e = np.empty((len(k), BANDS), KEYED)
-                e["file"], e["print"], e["low"], e["high"] = k["file"], print_[:, None], k["low"][:, None], k["high"][:, None]
-                e = e.ravel()
-                of = mix(e["file"].astype(U64)) % U64(buckets)
-                order = np.argsort(of, kind="stable")
-                e = e[order]
-                bucket, first, n = np.unique(of[order], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array([e[i : i + k].tobytes() for i, k in zip(first, n)], pa.binary())], ["bucket", "blob"])
-
-    return rows.select("a", "b", "keys").distinct().mapInArrow(run, "bucket long, blob binary")
-
-
-def print_name(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a ^ mix(b))
+def signed(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Names of texts by the sign bits of their minima; texts with the same bits are one here, and told apart when verified."""
+    return mix(low ^ mix(high))
 
 
 def coarse_links(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of a bucket within DISTANCE that share a file, thinned to a spanning forest."""
-    a, b = entries["a"], entries["b"].astype(U64)
-    return thinned(entries["file"], print_name(a, b), a, b, DISTANCE)
-
-
-def band_links(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints of texts of a bucket within SIGNS that share a band, thinned alike."""
-    return thinned(entries["file"], entries["print"], entries["low"], entries["high"], SIGNS)
+    """Links between texts of a bucket within SIGNS that share a file, thinned to a spanning forest."""
+    low, high = entries["low"], entries["high"]
+    return thinned(entries["file"], signed(low, high), low, high, SIGNS)
 
 
 def thinned(f: np.ndarray, name: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,27 +265,20 @@ def groups(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", tex
     however long; other columns don't matter.
     """
     rows = cut(descriptions(docs, id_col, text_col, shingle))
-    prints = rows.select("a", "b").distinct()
-    prints = cut(prints)
+    prints = cut(rows.select("a", "b", "keys").distinct())
     n = prints.count()
 
     def links(table: pa.Table) -> pa.Table:
         a, b = coarse_links(np.concatenate([np.frombuffer(x.as_py(), ENTRY) for x in table.column("blob")]))
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    def band_pairs(table: pa.Table) -> pa.Table:
-        a, b = band_links(np.concatenate([np.frombuffer(x.as_py(), KEYED) for x in table.column("blob")]))
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
-
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(i).to_numpy(zero_copy_only=False).view(U64) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(print_name(a, b).view(np.int64))], ["name", "print"])
+            k = np.frombuffer(b"".join(batch.column(1).to_pylist()), KEYS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(k["low"], k["high"]).view(np.int64))], ["name", "print"])
 
-    once = rows.select("name", "a", "b").distinct().mapInArrow(named, "name long, print long")
-    buckets = max(64, n // BUCKET_PRINTS)
-    near = dealt(prints, buckets).groupBy("bucket").applyInArrow(links, "a long, b long")
-    coarse = components(near.union(banded(rows, buckets).groupBy("bucket").applyInArrow(band_pairs, "a long, b long")))
+    once = rows.select("name", "keys").mapInArrow(named, "name long, print long").distinct()
+    coarse = components(dealt(prints, max(64, n // BUCKET_PRINTS)).groupBy("bucket").applyInArrow(links, "a long, b long"))
     member = once.join(coarse, once["print"] == coarse["node"], "left").select("name", F.coalesce("root", "print").alias("cls"))
     member = cut(member)
     size = member.groupBy("cls").agg(F.count("*").alias("n")).filter("n > 1").repartition(F.xxhash64("cls"))  # dealt anew, so that a large class can be split in the join

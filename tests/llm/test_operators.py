@@ -483,6 +483,18 @@ def test_near_copies_are_verified_exactly(spark):
     assert [s for i, s in enumerate(shares) if (got[2 * i] == got[2 * i + 1]) != (s >= 0.8)] == []
 
 
+def test_texts_of_one_language_are_no_class(spark):
+    """Texts of mostly the same words have fingerprints alike, and no shingle in common: no chain of them may grow with the table."""
+    rng = random.Random(9)
+    common = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.sample([*common, *(f"x{k}y{i}" for i in range(12))], 212)) for k in range(300)]
+    table = spark.createDataFrame(list(enumerate([*texts, texts[0] + " tail"])), "doc_id long, text string")
+    rows = near_copies.descriptions(table, "doc_id", "text", 5).select("a", "b", "keys")
+    entries = np.concatenate([np.frombuffer(r["blob"], near_copies.ENTRY) for r in near_copies.dealt(rows, 1).collect()])
+    assert len(near_copies.coarse_links(entries)[0]) == 1
+    assert [r["id"] for r in near_copies.groups(table).collect() if r["component_id"] != r["id"]] == [300]
+
+
 # ---------------------------------------------------------------- 8 token files
 
 
