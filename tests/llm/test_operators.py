@@ -653,3 +653,24 @@ def test_licences_in_long_and_repeated_texts(spark):
     docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, lines string, x int, grams string")
     got = sorted((r["id"] or 0, r["paragraph"], r["family"]) for r in licenses.scan(docs).collect())
     assert got == [(0, 0, "cc0"), (1, 30_000, "mit"), (2, 0, "cc0"), (2, 0, "cc0")]
+
+
+def test_notices_wrapped_over_any_number_of_lines(spark):
+    """Read whole, however many lines they take, and where a line's end parts the only cue."""
+    import textwrap
+
+    rows, want = [], {}
+    for family, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            for width in (30, 18):
+                for mark in ("", " * ", "# "):
+                    want[len(rows)] = family
+                    rows.append((len(rows), "Some words of prose\n \t\r\n" + "\n".join(mark + x for x in textwrap.wrap(t, width, break_long_words=False)) + "\n\nmore prose"))
+    for t in ("Released to the public\ndomain under CC\n0", "Permission\nis\nhereby", "free and unencumbered software released into the public\r\n// domain"):
+        rows.append((len(rows), t))
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["id"], []).append(r)
+    assert set(got) == {i for i, _ in rows}
+    assert {i: (want[i], rows[i][1]) for i in want if want[i] not in {r["family"] for r in got[i]}} == {}
+    assert [(r["paragraph"], r["whole"], r["family"]) for r in got[len(rows) - 1]] == [(0, True, "cc0")]
