@@ -27,7 +27,7 @@ LETTERS = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0,
 MARKS = r"[.,;:!?*$%&#|()\"]*"
 
 #: Bytes of a worker's memo of chunks, about; beyond, it keeps short ones only, or starts anew.
-MEMO_BYTES = 176 << 20
+MEMO_BYTES = 112 << 20
 #: What an entry takes beside its texts, about; longer chunks than LONGEST letters are never kept.
 ENTRY_BYTES, LONGEST = 200, 64
 #: Letters handed to the library at once, about, as its results take many times their size.
@@ -77,6 +77,7 @@ class Encoder:
         plain = [c for c in LETTERS if own[c] in own and own[own[c]] == own[c]]
         self.form = {ord(c): own[c] for c in plain}  # a letter as the normalizer leaves it
         self.level = {ord(c): level.pre_tokenize_str(c)[0][0] for c in (" ", *plain)}
+        self.same = all(c == x for c, x in own.items() if c in plain)  # letters stay as they are
         self.stems = re.compile(f"([{''.join(plain)}]+)({MARKS})")
         self.memo, self.firsts, self.marks = Memo(MEMO_BYTES), Memo(MEMO_BYTES // 8), Memo(MEMO_BYTES // 8)
 
@@ -117,14 +118,16 @@ class Encoder:
         m = self.stems.fullmatch(chunk)
         if m is None:
             return None
-        letters = m[1].translate(self.form)
+        letters, marks = m.groups()
+        if not self.same:
+            letters = letters.translate(self.form)
         ids = self.memo.get(letters)
         if ids is None:
             ids = self.memo.add(letters, self.stem(self.blank + letters))
-        return ids + self.mark(m[2]) if m[2] else ids
+        return ids + self.mark(marks) if marks else ids
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of chunks, which the memo keeps so far as it may; a stem and the marks after it are looked up apart."""
+        """Ids of chunks; a stem and the marks after it are looked up apart, and the memo keeps the stem, not both together."""
         got, rest = {}, []
         for c in new:
             ids = self.word(c)
@@ -135,7 +138,7 @@ class Encoder:
             if ids is None:
                 rest.append(c)
             else:
-                got[c] = self.memo.add(c, ids)
+                got[c] = ids
         for c, ids in zip(rest, self.direct([self.blank + c for c in rest])):
             got[c] = self.memo.add(c, ids)
         return got

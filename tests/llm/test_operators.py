@@ -50,6 +50,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_memo_counts_each_entry_once():
+    """Words with marks after them take no room beside their stems, and no entry counts twice to the bound."""
+    e = Encoder(BYTE)
+    e.encode(["one word, of one. Word of word; one! of, word."] * 2)
+    assert set(e.memo) == {"word", "of", "one", "Word"}
+    assert e.memo.size == sum(tokens.ENTRY_BYTES + len(c) + len(v) for c, v in e.memo.items())
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_equals_the_library(path, corpus):
     rng = random.Random(2)
