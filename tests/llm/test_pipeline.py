@@ -124,3 +124,62 @@ def test_queries_equal_their_contracts(spark):
     five = {(r["doc_id"], r["item_id"]) for r in queries.op5_decontamination(spark, DIR).collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()}
     assert {(i, k) for i, t in texts.items() for k, x in items.items() if x and x in t} <= five
+
+
+def test_op10_gives_notices_over_any_number_of_lines(spark, tmp_path):
+    """The rows of its SQL, all of them, and each notice that only its whole paragraph shows, against a plain version."""
+    import random
+    import re
+    import textwrap
+    from collections import Counter
+
+    import duckdb
+
+    from gridmill.llm import licenses
+
+    weights, bias, least = licenses.model()
+    rng, texts, wrapped = random.Random(3), [None, "", "\n\n", "no cue\nat all"], {}
+    notices = [(f, t) for f, ts in licenses.TEMPLATES.items() for t in ts]
+    for family, t in notices:
+        for mark in ("", " * ", "# "):
+            wrapped[len(texts)] = family
+            texts.append("Words before\n \t\r\n" + "\n".join(mark + x for x in textwrap.wrap(t, 12, break_long_words=False)) + "\n\nwords after")
+    for _ in range(150):
+        words = " ".join(rng.choice([rng.choice(notices)[1], rng.choice(licenses.OTHERS), "plain words of no use"]) for _ in range(rng.randint(1, 3))).split(" ")
+        texts.append("".join(w + rng.choice([" ", " ", "\n", "\n", "\r\n// ", "\n\n"][: rng.choice([4, 5, 6])]) for w in words))
+    texts += texts[10:12]
+    spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def plain(text):
+        gs = licenses.grams(text)
+        scores = [b + sum(weights[g][c] for g in gs if g in weights) for c, b in enumerate(bias)]
+        best = max(range(len(scores) - 1), key=lambda c: (scores[c], -c))
+        margin = scores[best] - scores[-1]
+        if margin <= least:
+            return "unknown", margin, 0, "unknown"
+        family = licenses.CLASSES[best]
+        overlap = max(100 * len(set(gs) & set(t)) // len(t) for _, f, t in licenses.templates() if f == family)
+        return family, margin, overlap, family if overlap >= licenses.OVERLAP else "unknown"
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = con.execute(queries.ORACLE_SQL["op10_licenses"]).fetchall()
+    named = {(i, n) for i, n, *_, family in sql if family != "unknown"}
+    whole = []
+    for i, t in enumerate(texts):
+        first, lines = 0, (t or "").split("\n")
+        for n, line in enumerate([*lines, ""]):
+            if line.strip(" \t\r"):
+                continue
+            part = " ".join(lines[first:n]).lower()
+            cue = any(c in part or c in re.sub("[^a-z0-9]+", " ", part) for c in licenses.CUES)
+            got = plain(part) if cue and not any((i or None, k) in named for k in range(first, n)) else ("unknown",)
+            reads = [k for k in range(first, n) if any(c in lines[k].lower() for c in licenses.CUES)]
+            if got[-1] != "unknown" and not any(k - first <= licenses.BEFORE and k + licenses.AFTER >= n - 1 for k in reads):
+                whole.append((i or None, first, True, *got))
+            first = n + 1
+
+    rows = [tuple(r) for r in queries.op10_licenses(spark, str(tmp_path)).collect()]
+    assert Counter(rows) == Counter(sql) + Counter(whole)
+    assert {i for i, f in wrapped.items() if (i, f) not in {(r[0], r[-1]) for r in rows}} == set()
+    assert {i for i, f in wrapped.items() if (i, f) not in {(r[0], r[-1]) for r in sql}} != set()
