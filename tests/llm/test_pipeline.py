@@ -147,6 +147,8 @@ def test_op10_gives_notices_over_any_number_of_lines(spark, tmp_path):
     for _ in range(150):
         words = " ".join(rng.choice([rng.choice(notices)[1], rng.choice(licenses.OTHERS), "plain words of no use"]) for _ in range(rng.randint(1, 3))).split(" ")
         texts.append("".join(w + rng.choice([" ", " ", "\n", "\n", "\r\n// ", "\n\n"][: rng.choice([4, 5, 6])]) for w in words))
+    beside = len(texts)
+    texts.append("Released under the MIT License\n" + "\n".join(textwrap.wrap(licenses.TEMPLATES["bsd"][1], 18)))
     texts += texts[10:12]
     spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
 
@@ -164,22 +166,29 @@ def test_op10_gives_notices_over_any_number_of_lines(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     sql = con.execute(queries.ORACLE_SQL["op10_licenses"]).fetchall()
-    named = {(i, n) for i, n, *_, family in sql if family != "unknown"}
+    named = {(i, n): (near, family) for i, n, near, *_, family in sql if family != "unknown"}
     whole = []
     for i, t in enumerate(texts):
         first, lines = 0, (t or "").split("\n")
         for n, line in enumerate([*lines, ""]):
             if line.strip(" \t\r"):
                 continue
-            part = " ".join(lines[first:n]).lower()
-            cue = any(c in part or c in re.sub("[^a-z0-9]+", " ", part) for c in licenses.CUES)
-            got = plain(part) if cue and not any((i or None, k) in named for k in range(first, n)) else ("unknown",)
-            reads = [k for k in range(first, n) if any(c in lines[k].lower() for c in licenses.CUES)]
-            if got[-1] != "unknown" and not any(k - first <= licenses.BEFORE and k + licenses.AFTER >= n - 1 for k in reads):
-                whole.append((i or None, first, True, *got))
+            part, own = " ".join(lines[first:n]).lower(), {k: named[i or None, k] for k in range(first, n) if (i or None, k) in named}
+            gone = set()
+            for k, (near, family) in own.items():
+                span = range(k - licenses.BEFORE, k + licenses.AFTER + 1) if near else [k]
+                if not (near and any(own.get(x) == (False, family) for x in span)):
+                    gone.update(span)
+            left = [k for k in range(first, n) if k not in gone]
+            cues = [k for k in range(first, n) if any(c in lines[k].lower() for c in licenses.CUES)]
+            read = not own and any(k - first <= licenses.BEFORE and k + licenses.AFTER >= n - 1 for k in cues)
+            if left and not read and any(c in part or c in re.sub("[^a-z0-9]+", " ", part) for c in licenses.CUES):
+                got = plain(" ".join(lines[k] for k in left))
+                if got[-1] not in {"unknown", *(family for _, family in own.values())}:
+                    whole.append((i or None, left[0], True, *got))
             first = n + 1
 
     rows = [tuple(r) for r in queries.op10_licenses(spark, str(tmp_path)).collect()]
     assert Counter(rows) == Counter(sql) + Counter(whole)
-    assert {i for i, f in wrapped.items() if (i, f) not in {(r[0], r[-1]) for r in rows}} == set()
+    assert {(i, f) for i, f in wrapped.items()} | {(beside, "mit"), (beside, "bsd")} <= {(r[0], r[-1]) for r in rows}
     assert {i for i, f in wrapped.items() if (i, f) not in {(r[0], r[-1]) for r in sql}} != set()
